@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from lexloom.llm import mixing
+from lexloom.llm import mixing, packing, token_files
 
-QUERIES = {"op1_mix": mixing.op1_mix}
+QUERIES = {
+    "op1_mix": mixing.op1_mix,
+    "op3_token_files": token_files.op3_token_files,
+    "op6_pack": packing.op6_pack,
+}
 ORACLE: dict[str, str] = dict(mixing.ORACLE)
