@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexloom.llm import mixing, packing, token_files
+from lexloom.llm import line_dedup, mixing, packing, token_files
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op3_token_files": token_files.op3_token_files,
     "op6_pack": packing.op6_pack,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLE: dict[str, str] = dict(mixing.ORACLE)
+ORACLE: dict[str, str] = mixing.ORACLE | line_dedup.ORACLE
