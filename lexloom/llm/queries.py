@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexloom.llm import line_dedup, mixing, packing, token_files
+from lexloom.llm import line_dedup, mixing, packing, token_files, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op3_token_files": token_files.op3_token_files,
     "op6_pack": packing.op6_pack,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op7_warc": warc.op7_warc,
 }
 ORACLE: dict[str, str] = mixing.ORACLE | line_dedup.ORACLE
