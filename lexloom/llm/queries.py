@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import line_dedup, mixing, packing, token_files, warc
+from lexloom.llm import line_dedup, mixing, near_dups, packing, token_files, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_pack": packing.op6_pack,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op7_warc": warc.op7_warc,
+    "op8_near_dups": near_dups.op8_near_dups,
 }
 ORACLE: dict[str, str] = mixing.ORACLE | line_dedup.ORACLE
