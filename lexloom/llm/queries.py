@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import line_dedup, mixing, near_dups, packing, token_files, warc
+from lexloom.llm import line_dedup, mixing, near_dups, packing, quality, token_files, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -11,5 +11,6 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op7_warc": warc.op7_warc,
     "op8_near_dups": near_dups.op8_near_dups,
+    "op4_quality": quality.op4_quality,
 }
-ORACLE: dict[str, str] = mixing.ORACLE | line_dedup.ORACLE
+ORACLE: dict[str, str] = mixing.ORACLE | line_dedup.ORACLE | quality.ORACLE
