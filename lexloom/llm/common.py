@@ -125,3 +125,42 @@ def prefix_sums(rows: DataFrame, group: list[str], order: list[str], value: str,
 
 
 LONG, STRING, DOUBLE, INT, BOOL, BINARY = T.LongType(), T.StringType(), T.DoubleType(), T.IntegerType(), T.BooleanType(), T.BinaryType()
+
+#: What code_spans() returns.
+SPANS = "array<struct<start:int,end:int,match:string>>"
+#: Spans of several kinds: by start, then kind in the order given, then end.
+KINDED = "array<struct<start:int,rank:int,end:int,kind:string>>"
+
+
+def spans_if(text: Column, guard: Column, pattern: str) -> Column:
+    """code_spans() of the texts that pass the guard, which must hold for every text with a match; none of the others."""
+    return F.when(guard, code_spans(text, pattern)).otherwise(F.array().cast(SPANS))
+
+
+def kinded(spans: Column, kind: str, rank: int) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+
+def told(spans: Column) -> Column:
+    """kind:start:end of sorted spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def overlaps(spans: Column, start: Column, end: Column) -> Column:
+    return F.exists(spans, lambda s: (s["start"] < end) & (start < s["end"]))
+
+
+def row_keys(*columns: str) -> list[Column]:
+    """r1 and r2, which tell rows apart by these columns; equal rows have equal keys."""
+    return [F.xxhash64(*columns).alias("r1"), F.hash(*reversed(columns)).alias("r2")]
+
+
+def replaced(text: Column, spans: Column, by) -> Column:
+    """The text with each of the sorted spans replaced by by(span); a span that begins within the one before is left out."""
+    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(a, s):
+        out = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), by(s))
+        return F.when(s["start"] < a["at"], a).otherwise(F.struct(out.alias("out"), s["end"].alias("at")))
+
+    return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))

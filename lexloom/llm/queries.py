@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import line_dedup, mixing, near_dups, packing, quality, token_files, warc
+from lexloom.llm import line_dedup, mixing, near_dups, packing, pii, quality, secrets, token_files, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -12,5 +12,7 @@ QUERIES = {
     "op7_warc": warc.op7_warc,
     "op8_near_dups": near_dups.op8_near_dups,
     "op4_quality": quality.op4_quality,
+    "op5_pii": pii.op5_pii,
+    "op9_secrets": secrets.op9_secrets,
 }
 ORACLE: dict[str, str] = mixing.ORACLE | line_dedup.ORACLE | quality.ORACLE
