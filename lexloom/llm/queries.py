@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import line_dedup, mixing, near_dups, packing, pii, quality, secrets, token_files, warc
+from lexloom.llm import ann, line_dedup, mixing, near_dups, packing, pii, quality, secrets, token_files, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -14,5 +14,6 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_pii": pii.op5_pii,
     "op9_secrets": secrets.op9_secrets,
+    "op2_neighbours": ann.op2_neighbours,
 }
 ORACLE: dict[str, str] = mixing.ORACLE | line_dedup.ORACLE | quality.ORACLE
