@@ -146,7 +146,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, filter_bytes: int = FIL
     With digest: doc_id, n_lines, n_dropped and kept_sha256 in place of the columns. A null text is one empty line, and
     stays null in documents.
     """
-    names = [c for c in docs.columns if c not in ("doc_id", "text")]
+    every = list(docs.columns)
     drops = dropped_lines(docs, least, filter_bytes).withColumnRenamed("doc_id", "__doc").withColumnRenamed("drop", "__drop")
     keyed = docs.withColumn("__id", F.col("doc_id").cast("long"))
     joined = keyed.join(drops, F.col("__id") == F.col("__doc"), "left").drop("__doc", "__id")
@@ -182,7 +182,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, filter_bytes: int = FIL
                 texts = part.column("text").to_pylist()
                 drops = part.column("__drop").to_pylist()
                 texts = ["\n".join(kept(t, d)[0]) if d else t for t, d in zip(texts, drops, strict=True)]
-                columns = {c: part.column(c) for c in docs.columns}
+                columns = {c: part.column(c) for c in every}
                 columns["text"] = pa.array(texts, pa.string())
                 if "n_chars" in columns:
                     lengths = pc.utf8_length(columns["text"]).cast(columns["n_chars"].type)
@@ -191,7 +191,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, filter_bytes: int = FIL
 
     if digest:
         return joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__drop").mapInArrow(told, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
-    return joined.select("doc_id", "text", *names, "__drop").mapInArrow(cut, docs.schema)
+    return joined.select(*every, "__drop").mapInArrow(cut, docs.schema)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
