@@ -1,11 +1,52 @@
-"""A corpus pipeline of the operators in lexloom.llm. Its stages are added as the operators are built."""
+"""A corpus pipeline: quality rules, line dedup, near-dedup, mixing to target weights, packing.
 
-STAGES: list = []
+Each stage takes the documents that the one before kept, and returns documents with the same columns; the last returns
+the packed pieces. A stage's result is written before the next one reads it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lexloom.llm import line_dedup, mixing, near_dups, packing, quality, tokens
+from lexloom.llm.common import stored, table
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """4: documents that pass, without lines that are too frequent in their host."""
+    return quality.cleaned(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """10: a line of several documents stays in the first of them."""
+    return line_dedup.without_repeats(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """8: of near-duplicates, at a similarity of 0.8 or more, the first stays."""
+    return near_dups.without_near_duplicates(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """1: documents as often as the mix takes them, the last cut where a source's budget ends."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """6: pieces of the documents, and their places in sequences."""
+    return packing.pack(packing.pieces(docs, tokens.default_path()))
+
+
+STAGES = [("quality_rules", rules), ("line_dedup", lines), ("near_dedup", near), ("mixing", mixed), ("packing", packed)]
+
+#: Shingle sets, token ids and packing are beyond SQL; a brute-force version stands in tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, name)
     return docs
