@@ -5,17 +5,15 @@ length. Two signatures that differ in at most T = 2 * chunks - 1 places have, by
 most one difference; so each chunk gives a key for every place left out, and all pairs under the distance share a key.
 Keys are followed up in two steps that never list all pairs of a group:
 
-1. each class is held against the least class it shares a key with; confirmed links join classes into components;
-2. only keys that still hold several components are looked at again, in blocks: pairs of different components, whose
-   signatures differ in at most T places, are confirmed on their full sets.
+1. in rounds, each class is held against the nearest, by signature, of the least classes of its keys; links that its full
+   set confirms join classes into components;
+2. only keys that still hold several components are looked at again: what shares them meets in blocks, on full sets.
 
 At a similarity of 0.85, all chunks of a pair have two or more differences with probability below 1e-5.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,8 +29,8 @@ K, CHUNKS = 48, 8
 PLACES = K // CHUNKS
 #: Differences between signatures within which the chunks guarantee a shared key.
 T = 2 * CHUNKS - 1
-#: Classes of one key that are held against each other at once.
-BLOCK = 2048
+#: Classes on each side that are held against each other at once, and rounds of the first step.
+BLOCK, ROUNDS = 1024, 2
 #: Bytes of the bitmap that tells which documents are in candidate pairs.
 BITMAP_BYTES = 32 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -180,68 +178,81 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(links, "u long, v long")
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of x, the rows of y within T differences."""
-    for i in range(len(x)):
-        yield i, np.flatnonzero((y != x[i]).sum(axis=1) <= T)
-
-
-def cross_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Of rows (key, id, comp, n, sig): pairs (u, v) of one key and different components, within T differences.
+def linked_in_blocks(members: DataFrame, sets: DataFrame, share: int, block: int = BLOCK) -> DataFrame:
+    """Of members (part, comp, id), all links (u, v) between different components of one part that matter: for each row,
+    one to each component that it links with.
 
-    The rows of a key are dealt into blocks, and each two blocks of a key meet in one task, so a key of any size takes
-    bounded memory. Rows of a key's largest component meet only the others.
+    The largest component of a part is its core; all others are held against all rows. Both sides are dealt into blocks,
+    and two blocks meet in one task, which counts the shared shingles of all their pairs; it returns links, not pairs. So
+    a part of any size takes bounded memory, and rows of the core are never held against each other.
     """
-    count = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), "key-counts")
-    dealt = rows.join(count.withColumnRenamed("key", "__k"), F.col("key") == F.col("__k")).drop("__k")
-    dealt = dealt.withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int")).withColumn("__own", F.pmod(F.xxhash64("id"), F.col("__blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
-    dealt = dealt.withColumn("__other", other)
-    dealt = dealt.select("key", F.least("__own", "__other").alias("i"), F.greatest("__own", "__other").alias("j"), (F.col("__own") > F.col("__other")).alias("second"), "id", "comp", "sig")
+    sizes = members.groupBy("part", "comp").agg(F.count(F.lit(1)).alias("n"))
+    parts = sizes.groupBy("part").agg(F.max(F.struct("n", "comp"))["comp"].alias("core"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others"))
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    parts = stored(parts.select(F.col("part").alias("p"), "core", blocks("n").alias("rows"), blocks("others").alias("columns")), "parts")
+    dealt = members.join(parts, F.col("part") == F.col("p"))
+    numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    every = dealt.select("part", F.pmod(F.xxhash64("id"), F.col("rows")).cast("int").alias("i"), numbers("columns").alias("j"), F.lit(False).alias("other"), "comp", "id")
+    others = dealt.where(F.col("comp") != F.col("core")).select("part", numbers("rows").alias("i"), F.pmod(F.xxhash64("id", "part"), F.col("columns")).cast("int").alias("j"), F.lit(True).alias("other"), "comp", "id")
+    rows = every.union(others).join(sets.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid")).drop("sid")
 
     def meet(batches):
-        held: list = []
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def done():
-            second = np.array([r[2] for r in held])
-            ids, comps = np.array([r[3] for r in held], np.int64), np.array([r[4] for r in held], np.int64)
-            if (comps == comps[0]).all():
-                return
-            sigs = np.frombuffer(b"".join(r[5] for r in held), np.uint16).reshape(-1, K)
-            same = held[0][1][1] == held[0][1][2]
-            left, right = (np.arange(len(held)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
-            if not len(left) or not len(right):
-                return
-            # The commonest component of the first side needn't lead: the others meet it.
-            for i, near in _distances(sigs[left], sigs[right]):
-                a, b = left[i], right[near]
-                b = b[(comps[b] > comps[a]) if same else (comps[b] != comps[a])]
-                if len(b):
-                    out.append((np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])))
-
-        def flush():
-            u, v = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
-            out.clear()
-            u, v = np.unique(np.stack([u, v]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        held: list[tuple] = []
+
+        def links():
+            every, others = [r for r in held if not r[1]], [r for r in held if r[1]]
+            if not every or not others:
+                return None
+            flat = [np.frombuffer(r[4], np.uint64) for r in every]
+            own = [np.frombuffer(r[4], np.uint64) for r in others]
+            starts = np.append(0, np.cumsum([len(x) for x in flat]))
+            names, inverse = np.unique(np.concatenate(flat), return_inverse=True)
+            comps, ids = np.array([r[2] for r in every], np.int64), np.array([r[3] for r in every], np.int64)
+            sizes = np.diff(starts)
+            marks = np.zeros(len(names), np.int32)
+            u, v = [], []
+            for r, x in zip(others, own, strict=True):
+                at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+                at = at[names[at] == x]
+                marks[at] = 1
+                both = np.add.reduceat(marks[inverse], starts[:-1])
+                marks[at] = 0
+                near = np.flatnonzero((100 * both >= share * (sizes + len(x) - both)) & (comps != r[2]))
+                if len(near):
+                    _, first = np.unique(comps[near], return_index=True)
+                    v += ids[near[first]].tolist()
+                    u += [r[3]] * len(first)
+            return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}) if u else None
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "second", "id", "comp", "sig")]
-            for key, i, j, second, id_, comp, sig in zip(*columns, strict=True):
-                if held and held[0][1] != (key, i, j):
-                    if len(held) > 1:
-                        done()
+            columns = [batch.column(c).to_pylist() for c in ("part", "i", "j", "other", "comp", "id", "hashes")]
+            for part, i, j, other, comp, id_, hashes in zip(*columns, strict=True):
+                if held and held[0][0] != (part, i, j):
+                    if (out := links()) is not None:
+                        yield out
                     held.clear()
-                    if sum(len(x) for x, _ in out[-64:]) and len(out) > 4096:
-                        yield flush()
-                held.append((key, (key, i, j), second, id_, comp, sig))
-        if len(held) > 1:
-            done()
-        if out:
-            yield flush()
+                held.append(((part, i, j), other, comp, id_, hashes))
+        if held and (out := links()) is not None:
+            yield out
+
+    return rows.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(meet, "u long, v long")
+
+
+def nearest(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """For each v of pairs (u, v), the pair whose signatures differ least, if in at most T places."""
+    x = sig.select(F.col("id").alias("u"), F.col("sig").alias("x"))
+    y = sig.select(F.col("id").alias("v"), F.col("sig").alias("y"))
+
+    def close(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, K) for c in ("x", "y"))
+                far = (x != y).sum(axis=1).astype(np.int32)
+                keep = pa.array(far <= T)
+                yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep), pa.array(far).filter(keep)], names=["u", "v", "far"])
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "u long, v long").distinct()
+    found = pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(close, "u long, v long, far int")
+    return found.groupBy("v").agg(F.min(F.struct("far", "u"))["u"].alias("u")).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, share: int = 85, size: int = 5, block: int = BLOCK) -> DataFrame:
@@ -255,8 +266,8 @@ def near_duplicates(docs: DataFrame, share: int = 85, size: int = 5, block: int
     full = rows.where("n > 0 and doc_id is not null")
     classes = stored(full.groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     keys = stored(keyed(classes), "keys")
-    least = stored(keys.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("most")).where("rep < most").select(F.col("key").alias("k"), "rep"), "reps")
-    shared = stored(keys.join(least, F.col("key") == F.col("k")).select("key", "id", "rep"), "shared")
+    least = stored(keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("key").alias("k")), "shared-keys")
+    shared = stored(keys.join(least, F.col("key") == F.col("k")).select("key", "id"), "shared")
 
     sig = classes.select("id", "n", "sig")
     # Which documents are in candidate pairs, as a bitmap of a bounded size over hashed ids; a wrong hit costs one set more.
@@ -285,15 +296,24 @@ def near_duplicates(docs: DataFrame, share: int = 85, size: int = 5, block: int
     # Of a class, the set of its least document alone; where rows share that id, each has a set, and all are compared.
     found = stored(texts.mapInArrow(sets, "id long, hashes binary"), "sets")
 
-    first = shared.where("id <> rep").groupBy("id").agg(F.min("rep").alias("rep")).select(F.col("rep").alias("u"), F.col("id").alias("v"))
-    links = stored(confirmed(stored(_close(first, sig), "pairs"), found, share), "first-links")
-    part_of = stored(components(links), "first-components")
-
-    labelled = shared.join(part_of, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    open_keys = stored(labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select(F.col("key").alias("k")), "open-keys")
-    left = labelled.join(open_keys, F.col("key") == F.col("k")).select("key", "id", "comp").join(sig.select(F.col("id").alias("sid"), "sig"), F.col("id") == F.col("sid")).select("key", "id", "comp", "sig")
-    more = stored(cross_pairs(left, block), "cross-pairs")
-    links = links.union(confirmed(more, found, share))
+    links, part_of = None, None
+    for turn in range(ROUNDS):
+        with_comp = shared.withColumn("comp", F.col("id")) if part_of is None else _labelled(shared, part_of)
+        ends = with_comp.groupBy("key").agg(F.min(F.struct("comp", "id")).alias("least"), F.max("comp").alias("most")).where("least.comp < most")
+        ends = stored(ends.select(F.col("key").alias("k"), F.col("least.comp").alias("least_comp"), F.col("least.id").alias("u")), f"open-{turn}")
+        tries = with_comp.join(ends, F.col("key") == F.col("k")).where("comp <> least_comp").select("u", F.col("id").alias("v")).distinct()
+        more = stored(confirmed(stored(nearest(tries, sig), f"nearest-{turn}"), found, share), f"links-{turn}")
+        links = more if links is None else links.union(more)
+        part_of = stored(components(links), f"components-{turn}")
+
+    # Keys that still hold several components: what shares them, directly or by others, is a part.
+    labelled = _labelled(shared, part_of)
+    ends = labelled.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    ends = stored(ends.select(F.col("key").alias("k"), "least"), "open")
+    rest = stored(labelled.join(ends, F.col("key") == F.col("k")).select("id", "comp", "least").distinct(), "rest")
+    parts = stored(components(rest.select(F.col("least").alias("u"), F.col("comp").alias("v"))), "parts-of")
+    members = rest.select("id", "comp").distinct().join(parts, F.col("comp") == F.col("node"), "left").select(F.coalesce("component", "comp").alias("part"), "comp", "id")
+    links = links.union(stored(linked_in_blocks(stored(members, "members"), found, share, block), "block-links"))
     part_of = stored(components(links), "components")
 
     named = classes.join(part_of, F.col("id") == F.col("node"), "left").select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("component", "id").alias("class_component"))
@@ -303,19 +323,8 @@ def near_duplicates(docs: DataFrame, share: int = 85, size: int = 5, block: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _close(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) whose signatures differ in at most T places."""
-    x = sig.select(F.col("id").alias("u"), F.col("sig").alias("x"))
-    y = sig.select(F.col("id").alias("v"), F.col("sig").alias("y"))
-
-    def close(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, K) for c in ("x", "y"))
-                keep = pa.array((x != y).sum(axis=1) <= T)
-                yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
-
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(close, "u long, v long")
+def _labelled(shared: DataFrame, part_of: DataFrame) -> DataFrame:
+    return shared.join(part_of, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
 
 
 def without_near_duplicates(docs: DataFrame, share: int = 80, size: int = 5) -> DataFrame:
