@@ -8,6 +8,7 @@ with case and composed characters it does within a piece.
 
 from __future__ import annotations
 
+import re
 from array import array
 from functools import lru_cache
 
@@ -27,6 +28,8 @@ _KIND[[9, 10, 11, 12, 13, 32]] = 1
 _KIND[[*range(65, 91), *range(97, 123)]] = 2
 _KIND[[x for x in range(33, 127) if not chr(x).isalnum()]] = 3
 _KIND[ord("'")] = 4
+#: Words of a-z, and the small Latin-1 letters, in UTF-8.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 _LOWER = np.zeros(256, np.uint8)
 _LOWER[65:91] = 32
 
@@ -38,12 +41,21 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known: dict[bytes, bytes] = {}
+        # Lower-case words of these letters pass normalization unchanged and are one match of the word pattern each: many
+        # of them, apart by spaces, go through the model at once, and ids of tokens that end a word part them again.
+        self.words = Tokenizer.from_file(path)
+        suffix = getattr(self.words.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.vocabulary, bool)
+        if suffix:
+            self.ends[[i for token, i in self.words.get_vocab().items() if token.endswith(suffix)]] = True
+            self.words.normalizer = None
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def pieces(self, unique: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after the other, and how many each has."""
@@ -52,6 +64,15 @@ class Encoder:
         if len(known) + len(new) > KEPT_PIECES:
             known.clear()
             new = unique
+        plain = [x for x in new if _PLAIN(x)] if self.ends.any() else []
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = np.array(self.words.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.append(0, 4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(part) + 1:
+                raw = ids.tobytes()
+                known.update(zip(part, (raw[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)), strict=True))
+        new = [x for x in new if x not in known]
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
             found = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
