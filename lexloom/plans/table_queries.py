@@ -173,7 +173,7 @@ QUERIES = {
     "f15_token_chunks": _chunked,
     "f16_sentence_windows": lambda spark, sf: wide(spans.sentence_windows(sentences(spark, sf)).select("doc_id", "window_id", C("first").alias("first_id"), C("last").alias("last_id"), F.md5("text").alias("h"))),
     "f18_smoothed": _smoothed,
-    "f18_peaks": lambda spark, sf: wide(spans.peak_spans(sentences(spark, sf).where("sentence_id = 0"), spans.token_importance(sentences(spark, sf).where("sentence_id = 0"))).select("doc_id", "sentence_id", "start", C("end").alias("stop"), "score")),
+    "f18_peaks": lambda spark, sf: wide(spans.peak_spans(sentences(spark, sf).where("sentence_id = 0"), spans.token_importance(sentences(spark, sf).where("sentence_id = 0")), 2, 3, 5, 2).select("doc_id", "sentence_id", "start", C("end").alias("stop"), "score")),
     "h01_encoded": lambda spark, sf: wide(models.encoded(table(spark, sf, "benchmark"), "text", lambda: models.hashed_words(32)).select("item_id", F.size("vector").alias("dim"), F.round(F.aggregate(C("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))),
     "h08_keyphrases": _keyphrases,
     "h10_token_attribution": lambda spark, sf: wide(models.token_attribution(spans.token_importance(sentences(spark, sf).where("sentence_id = 0")), ["doc_id", "sentence_id"]).select("doc_id", "pos", F.round("weight", 6).alias("weight"))),
