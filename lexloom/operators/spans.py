@@ -94,7 +94,7 @@ def peaks(text: str, offsets: list[tuple[int, int]], scores: list[float], top_k:
     """(start, end, score) of the spans around the highest places, each grown while it stays above a quarter of its
     peak; short ones go, near ones merge, the best top_k stay."""
     if width > 1 and scores:
-        scores = np.convolve(np.array(scores, float), np.ones(width) / width, mode="same")
+        scores = np.convolve(np.array(scores, float), np.ones(width), mode="same") / width
     height = np.zeros(len(text))
     for (a, b), s in zip(offsets, scores, strict=False):  # few scores give a longer average
         if a < b <= len(text):

@@ -43,8 +43,8 @@ def strip(x: str) -> str:
 
 def _colour(expr):
     """Colours and scores made of document ids."""
-    rgb = F.lpad(F.hex((C("doc_id") * 7919) % 16777216), 6, "0")
-    return lambda spark, sf: wide(table(spark, sf, "documents").select("doc_id", rgb.alias("rgb")).select("doc_id", *expr()))
+    rgb = lambda: F.lpad(F.hex((C("doc_id") * 7919) % 16777216), 6, "0")
+    return lambda spark, sf: wide(table(spark, sf, "documents").select("doc_id", rgb().alias("rgb")).select("doc_id", *expr()))
 
 
 _RGB = "c AS (SELECT doc_id, lpad(printf('%X', (doc_id * 7919) % 16777216), 6, '0') AS rgb FROM documents)"

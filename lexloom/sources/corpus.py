@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,19 +12,27 @@ from pyspark.sql import types as T
 
 from lexloom.functions import text as X
 
+
+
+@lru_cache
+def parsed(ddl: str) -> T.StructType:
+    """The schema; parsing one needs a session."""
+    return T.StructType.fromDDL(ddl)
+
+
 #: Tables of the engine.
-DOCUMENTS = T.StructType.fromDDL("doc_id string, uri string, created_at timestamp, text_length int, full_text string")
+DOCUMENTS = "doc_id string, uri string, created_at timestamp, text_length int, full_text string"
 MENTION = "struct<text:string,start_char:int,end_char:int,is_pronoun:boolean,sent_id:int>"
-SENTENCES = T.StructType.fromDDL(
+SENTENCES = (
     "doc_id string, sentence_id int, start int, end int, text string, label int, confidence double, consensus string, "
     "token_analysis struct<tokens:array<struct<token:string,importance:double,start_char:int,end_char:int>>,max_importance:double,num_tokens:int>, "
     "span_analysis array<struct<rank:int,text:string,start_char:int,end_char:int,importance:double,chain_id:int>>"
 )
-CHAINS = T.StructType.fromDDL(f"doc_id string, chain_id int, representative string, mentions array<{MENTION}>, edges array<struct<antecedent:int,anaphor:int,tag:string>>")
-CLUSTERS = T.StructType.fromDDL("doc_id string, cluster_id int, members array<int>")
-EMBEDDINGS = T.StructType.fromDDL("doc_id string, sentence_id int, model string, dim int, vector array<float>")
+CHAINS = f"doc_id string, chain_id int, representative string, mentions array<{MENTION}>, edges array<struct<antecedent:int,anaphor:int,tag:string>>"
+CLUSTERS = "doc_id string, cluster_id int, members array<int>"
+EMBEDDINGS = "doc_id string, sentence_id int, model string, dim int, vector array<float>"
 #: A record of a processed document; both spellings of what has two.
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "doc_id string, full_text string, sentence_analyses array<struct<sentence_id:int,sentence_text:string,text:string,doc_start:int,doc_end:int,start:int,end:int,"
     "classification:struct<label:int,class_id:int,confidence:double,score:double,consensus:string>>>, "
     f"coreference_analysis struct<chains:array<struct<chain_id:int,representative:string,mentions:array<{MENTION}>>>>, cluster_analysis struct<clusters:array<array<int>>>"
@@ -96,9 +105,10 @@ def csv_rows(spark: SparkSession, path: str, claim: str, dois: str | None = None
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Processed documents from JSON, whether bare, or in production_output."""
-    wrapped = T.StructType([*RECORD.fields, T.StructField("production_output", RECORD)])
+    record = parsed(RECORD)
+    wrapped = T.StructType([*record.fields, T.StructField("production_output", record)])
     rows = spark.read.schema(wrapped).option("multiLine", "true").json(path)
-    return rows.select(*[F.coalesce(F.col(f"production_output.{f.name}"), F.col(f.name)).alias(f.name) for f in RECORD.fields])
+    return rows.select(*[F.coalesce(F.col(f"production_output.{f.name}"), F.col(f.name)).alias(f.name) for f in record.fields])
 
 
 def record_sentences(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexloom.sources import corpus as C
 
@@ -14,8 +13,9 @@ SCHEMAS = {"documents": C.DOCUMENTS, "sentences": C.SENTENCES, "chains": C.CHAIN
 KEYS = {"documents": ["doc_id"], "sentences": ["doc_id", "sentence_id"], "chains": ["doc_id", "chain_id"], "clusters": ["doc_id", "cluster_id"], "embeddings": ["doc_id", "sentence_id", "model"]}
 
 
-def migrated(rows: DataFrame, schema: T.StructType) -> DataFrame:
+def migrated(rows: DataFrame, ddl: str) -> DataFrame:
     """Rows as the schema has them: cast, with nulls for columns that lack; text_length follows the text."""
+    schema = C.parsed(ddl)
     have = {c.lower() for c in rows.columns}
     out = rows.select(*[(F.col(f.name).cast(f.dataType) if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
     if {"text_length", "full_text"} <= {f.name for f in schema.fields}:
@@ -42,7 +42,7 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
+        return f"{self.root}/{name}/current.txt"
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -158,7 +158,7 @@ def test_peaks_against_a_plain_version():
         for w in words:
             offsets.append((at, at + len(w)))
             at += len(w) + 1
-        scores = [random.randint(0, 9) / 4 for _ in words]
+        scores = [random.randint(0, 9) * 0.75 for _ in words]
         got, want = spans.peaks(text, offsets, scores, 2, 3, 3, 1), plain(text, offsets, scores, 2, 3, 1)
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
     assert spans.peaks("", [], []) == []
@@ -180,8 +180,9 @@ def test_cells_find_what_brute_force_finds(spark, sf):
     q = v.where("id % 50 = 0").withColumnRenamed("id", "query_id")
     exact = {(r["query_id"], r["id"]) for r in vectors.nearest(q, v, 5).collect()}
     index, centres = vectors.cell_index(v, 8)
+    assert {(r["query_id"], r["id"]) for r in vectors.probe(index, centres, q, 5, 8).collect()} == exact
     found = {(r["query_id"], r["id"]) for r in vectors.probe(index, centres, q, 5, 6).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
+    assert len(exact & found) >= 0.8 * len(exact)
 
 
 def test_descendants_end_on_circles(spark):
