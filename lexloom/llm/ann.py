@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import stored, table
+from lexloom.llm.common import in_batches, stored, table
 
 #: Vectors of a shard on average, links of a vector, beam of a search, queries of a block.
 SHARD, LINKS, BEAM, QUERIES = 4096, 16, 96, 512
@@ -197,7 +197,7 @@ def index(rows: DataFrame, top: int = TOP, shard: int = SHARD) -> DataFrame:
         if held:
             yield done()
 
-    return stored(dealt.repartition(sum(-(-n // shard) for n in counts.values()), "dim", "shard").sortWithinPartitions("dim", "shard").mapInArrow(build, _INDEX), "index")
+    return stored(in_batches(dealt.repartition(sum(-(-n // shard) for n in counts.values()), "dim", "shard").sortWithinPartitions("dim", "shard"), build, _INDEX), "index")
 
 
 _INDEX = "dim int, shard int, vectors binary, ids binary, lowest binary, upper binary"
@@ -226,7 +226,7 @@ def neighbours(shards: DataFrame, queries: DataFrame, top: int = TOP, beam: int
         if held:
             yield done()
 
-    blocks = stored(packed.repartition("dim", "block").sortWithinPartitions("dim", "block", "vec_id").mapInArrow(bind, "qdim int, block int, q binary, qids binary"), "queries")
+    blocks = stored(in_batches(packed.repartition("dim", "block").sortWithinPartitions("dim", "block", "vec_id"), bind, "qdim int, block int, q binary, qids binary"), "queries")
     numbers = shards.select(F.col("dim").alias("d"), F.col("shard").alias("s"))
     # A row for each block and shard; the arrays come by their keys.
     tasks = blocks.join(F.broadcast(numbers), F.col("qdim") == F.col("d")).join(shards, (F.col("d") == F.col("dim")) & (F.col("s") == F.col("shard")))
@@ -254,7 +254,7 @@ def neighbours(shards: DataFrame, queries: DataFrame, top: int = TOP, beam: int
                 r, c = np.nonzero(value > -np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(each[r, c]), pa.array(value[r, c])], names=["query_id", "vec_id", "score"])
 
-    found = tasks.select("dim", "q", "qids", "vectors", "ids", "lowest", "upper").mapInArrow(meet, "query_id long, vec_id long, score double")
+    found = in_batches(tasks.select("dim", "q", "qids", "vectors", "ids", "lowest", "upper"), meet, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -164,3 +164,36 @@ def replaced(text: Column, spans: Column, by) -> Column:
         return F.when(s["start"] < a["at"], a).otherwise(F.struct(out.alias("out"), s["end"].alias("at")))
 
     return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+#: Bytes of a batch that a task hands to Python at once; a single longer row makes a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame, body, schema) -> DataFrame:
+    """df.mapInArrow(body, schema) by batches of at most about BATCH_BYTES, whatever the rows' length.
+
+    Workers are kept for later tasks, and give back to the system at the end of each what they no longer use.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def released(batches):
+        try:
+            yield from body(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(released, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the platform knows how."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import bloom
-from lexloom.llm.common import fresh_path, stored, table
+from lexloom.llm.common import fresh_path, in_batches, stored, table
 from lexloom.llm.files import opened, shard_name
 from lexloom.llm.tokens import slices
 
@@ -92,8 +92,8 @@ def seen_twice(docs: DataFrame, folder: str, bits: int, least: int) -> bytes:
         if current is not None:
             yield pa.RecordBatch.from_pydict({"slice": pa.array([current], pa.int32()), "twice": [twice.tobytes()]})
 
-    filled = stored(docs.select("text").mapInArrow(fill, "slice int, file string, at long, size long"), "filters")
-    merged = filled.repartition("slice").sortWithinPartitions("slice").mapInArrow(join, "slice int, twice binary")
+    filled = stored(in_batches(docs.select("text"), fill, "slice int, file string, at long, size long"), "filters")
+    merged = in_batches(filled.repartition("slice").sortWithinPartitions("slice"), join, "slice int, twice binary")
     out = bytearray(bits // 8)
     for row in stored(merged, "filter").collect():
         out[row["slice"] * step : row["slice"] * step + step] = row["twice"]
@@ -125,7 +125,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, filter_bytes: int = FILT
                 at = np.flatnonzero(bloom.has(known, bloom.positions(a.copy(), bits)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(owners, np.int64)[at]), pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64))], names=["doc_id", "a", "b"])
 
-    found = stored(docs.mapInArrow(suspects, "doc_id long, a long, b long"), "suspects")
+    found = stored(in_batches(docs, suspects, "doc_id long, a long, b long"), "suspects")
     confirmed = found.groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
     # Stored, so that in a join both sides are plain shuffles, of which Spark can split those of a very common line.
     return found, stored(confirmed, "repeated")
@@ -190,8 +190,8 @@ def without_repeats(docs: DataFrame, least: int = LEAST, filter_bytes: int = FIL
                 yield pa.RecordBatch.from_pydict(columns)
 
     if digest:
-        return joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__drop").mapInArrow(told, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
-    return joined.select(*every, "__drop").mapInArrow(cut, docs.schema)
+        return in_batches(joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__drop"), told, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return in_batches(joined.select(*every, "__drop"), cut, docs.schema)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

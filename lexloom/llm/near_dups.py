@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import stored, table
+from lexloom.llm.common import in_batches, stored, table
 from lexloom.llm.components import components
 from lexloom.llm.tokens import slices
 
@@ -139,7 +139,7 @@ def sketched(docs: DataFrame, size: int = 5) -> DataFrame:
                 sigs = iter(signatures(hashes, bounds))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array([next(sigs).tobytes() if x else None for x in n.tolist()], pa.binary())], names=["doc_id", "n", "a", "b", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketch, "doc_id long, n long, a long, b long, sig binary")
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), sketch, "doc_id long, n long, a long, b long, sig binary")
 
 
 def keyed(classes: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def keyed(classes: DataFrame) -> DataFrame:
                 ids = np.repeat(batch.column("id").to_numpy(), K)
                 yield pa.RecordBatch.from_arrays([pa.array(signature_keys(sigs).ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
 
-    return classes.select("id", "sig").mapInArrow(keys, "key long, id long")
+    return in_batches(classes.select("id", "sig"), keys, "key long, id long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -175,7 +175,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
     x = sets.select(F.col("id").alias("u"), F.col("hashes").alias("x"))
     y = sets.select(F.col("id").alias("v"), F.col("hashes").alias("y"))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(links, "u long, v long")
+    return in_batches(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y"), links, "u long, v long")
 
 
 def linked_in_blocks(members: DataFrame, sets: DataFrame, share: int, block: int = BLOCK) -> DataFrame:
@@ -235,7 +235,7 @@ def linked_in_blocks(members: DataFrame, sets: DataFrame, share: int, block: int
         if held and (out := links()) is not None:
             yield out
 
-    return rows.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(meet, "u long, v long")
+    return in_batches(rows.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j"), meet, "u long, v long")
 
 
 def nearest(pairs: DataFrame, sig: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def nearest(pairs: DataFrame, sig: DataFrame) -> DataFrame:
                 keep = pa.array(far <= T)
                 yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep), pa.array(far).filter(keep)], names=["u", "v", "far"])
 
-    found = pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(close, "u long, v long, far int")
+    found = in_batches(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y"), close, "u long, v long, far int")
     return found.groupBy("v").agg(F.min(F.struct("far", "u"))["u"].alias("u")).select("u", "v")
 
 
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, share: int = 85, size: int = 5, block: int
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").withColumn("h", spot("id"))
     # Of a class, the set of its least document alone; where rows share that id, each has a set, and all are compared.
-    found = stored(texts.mapInArrow(sets, "id long, hashes binary"), "sets")
+    found = stored(in_batches(texts, sets, "id long, hashes binary"), "sets")
 
     links, part_of = None, None
     for turn in range(ROUNDS):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import tokens
-from lexloom.llm.common import prefix_sums, stored, table
+from lexloom.llm.common import in_batches, prefix_sums, stored, table
 
 CAPACITY = 4096
 #: Pieces that one range of a length holds on average.
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_batches(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import tokens
-from lexloom.llm.common import fresh_path, stored, table
+from lexloom.llm.common import fresh_path, in_batches, stored, table
 from lexloom.llm.files import opened, shard_name
 
 MAGIC = int.from_bytes(b"LXTOKEN1", "little")
@@ -165,7 +165,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, block: int =
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    manifest = stored(ordered.mapInArrow(write, "shard long, file string, n_ids long, n_docs long"), "manifest")
+    manifest = stored(in_batches(ordered, write, "shard long, file string, n_ids long, n_docs long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return stored(manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "bases")
 
@@ -188,7 +188,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                             names=["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
-    return manifest.select("file", "base").repartition(manifest.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_batches(manifest.select("file", "base").repartition(manifest.sparkSession.sparkContext.defaultParallelism * 4), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ END = 1
 #: Pieces whose ids a worker keeps for later batches.
 KEPT_PIECES = 200_000
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _KIND = np.zeros(256, np.uint8)  # 1 white space, 2 ASCII letter, 3 ASCII punctuation but for ', 4 ', 0 all else
 _KIND[[9, 10, 11, 12, 13, 32]] = 1

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import fresh_path, stored, table
+from lexloom.llm.common import fresh_path, in_batches, stored, table
 from lexloom.llm.files import opened, shard_name
 
 #: Bytes of a message in one record, of a chunk, and of an archive before the next one begins.
@@ -163,7 +163,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, segment:
             sink.close()
             yield pa.RecordBatch.from_pydict({"file": done})
 
-    return stored(marked.mapInArrow(write, "file string"), "archives")
+    return stored(in_batches(marked, write, "file string"), "archives")
 
 
 def read_archives(listed: DataFrame, folder: str) -> DataFrame:
@@ -221,7 +221,7 @@ def read_archives(listed: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(_assembled(group), schema)
 
     listed = listed.repartition(listed.sparkSession.sparkContext.defaultParallelism * 4)
-    return listed.mapInArrow(read, _RAW).repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(join, _PAGE)
+    return in_batches(in_batches(listed, read, _RAW).repartition("origin").sortWithinPartitions("origin", "number"), join, _PAGE)
 
 
 def _checked(message: bytes, expected: str | None) -> dict:
