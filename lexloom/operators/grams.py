@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,15 +33,18 @@ def weighted(index: DataFrame, idf: DataFrame, missing: float, on: list[str]) ->
     return index.join(idf.select(*on, F.col("idf").alias("w")), on, "left").withColumn("w", F.coalesce("w", F.lit(missing)))
 
 
-def jaccard_shortlist(query: DataFrame, index: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
+def jaccard_shortlist(query: DataFrame, index: DataFrame, keys: list[str], weigh: Callable[[DataFrame], DataFrame] | None = None, digits: int = 6) -> DataFrame:
     """(query_id, *keys, score): IDF-weighted Jaccard of gram sets, for candidates that share a gram.
 
-    query: (query_id, gram, w), index: (*keys, gram, w). The postings of a gram meet its queries on the gram alone, and
-    are summed at once; the mass of a set comes with each of its rows, so that no second join is needed.
+    query: (query_id, gram, w), index: (*keys, gram), or with w already; weigh adds w to rows with a gram, as the query's
+    weights were made. The postings meet the queries on the gram alone and are summed at once; only the grams of the
+    candidates so found are weighed.
     """
-    q = query.withColumn("q_mass", F.sum("w").over(Window.partitionBy("query_id"))).select("query_id", "gram", F.col("w").alias("q_w"), "q_mass")
+    mass_of = Window.partitionBy("query_id")
+    q = query.withColumn("q_mass", F.sum("w").over(mass_of)).select("query_id", "gram", F.col("w").alias("q_w"), "q_mass")
     hits = index.join(q, "gram").groupBy("query_id", *keys).agg(F.sum("q_w").alias("both"), F.max("q_mass").alias("q_mass"))
-    mass = index.join(hits.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.sum("w").alias("c_mass"))
+    own = index.join(hits.select(*keys).distinct(), keys, "left_semi")
+    mass = (weigh(own) if weigh else own).groupBy(*keys).agg(F.sum("w").alias("c_mass"))
     union = F.col("q_mass") + F.col("c_mass") - F.col("both")
     return hits.join(mass, keys).select("query_id", *keys, F.round(F.when(union > 0, F.col("both") / union).otherwise(0.0), digits).alias("score"))
 

@@ -35,7 +35,8 @@ def phrase_scores(spark, sf, n: int = 1) -> DataFrame:
     idx, chains = index(spark, sf)
     idf = grams.global_idf(idx, chains)
     q = probes(spark, sf, n).select("query_id", F.explode(F.array_distinct(mention_grams())).alias("gram"))
-    return grams.jaccard_shortlist(grams.weighted(q, idf, 1.0, ["gram"]), grams.weighted(idx, idf, 1.0, ["gram"]), CHAIN)
+    weigh = lambda rows: grams.weighted(rows, idf, 1.0, ["gram"])
+    return grams.jaccard_shortlist(weigh(q), idx, CHAIN, weigh)
 
 
 def flagship(spark, sf) -> DataFrame:

@@ -19,8 +19,8 @@ def claims(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select(C("item_id").alias("claim_id"), "text")
 
 
-def word_scores(spark, sf) -> DataFrame:
-    return attribution.word_scores(claims(spark, sf), sentences(spark, sf))
+def word_scores(spark, sf, least: float = 0.0) -> DataFrame:
+    return attribution.word_scores(claims(spark, sf), sentences(spark, sf), least)
 
 
 def staged(spark, sf) -> DataFrame:
@@ -133,11 +133,11 @@ _CE = "ce AS (SELECT a.label AS cluster_id, a.id AS i, b.id AS j, round(list_cos
 _SP = "sp AS (SELECT i, j, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, i, j) AS k FROM (SELECT i, j, score, unnest([i, j]) AS q FROM se WHERE score >= {0})) WHERE k <= {1} GROUP BY i, j, score HAVING count(*) = 2)"
 _MEAN = "pl AS (SELECT label, generate_subscripts(v, 1) AS p, unnest(v) AS x FROM e), mp AS (SELECT label, p, avg(x) AS x FROM pl GROUP BY label, p), me AS (SELECT label, list(x ORDER BY p) AS c FROM mp GROUP BY label), si AS (SELECT e.label, id, round(list_cosine_similarity(v, c), {0}) AS sim FROM e JOIN me ON e.label = me.label)"
 _SH = "CASE WHEN length({0}) >= 5 THEN list_distinct(list_transform(range(1, length({0}) - 3), lambda i: substr({0}, i, 5))) ELSE [{0}] END"
-_FS = f"fs AS (SELECT doc_id AS id, {_SH.format('lower(substr(text, 1, 200))')} AS items FROM s WHERE sentence_id = 0), jp AS (SELECT a.id AS i, b.id AS j, round(len(list_intersect(a.items, b.items))::DOUBLE / (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items))), 6) AS score FROM fs a JOIN fs b ON a.id < b.id AND least(len(a.items), len(b.items)) >= 0.8 * greatest(len(a.items), len(b.items)))"
+_FS = f"fa AS (SELECT doc_id AS id, list_sort({_SH.format('lower(substr(text, 1, 200))')}) AS items FROM s WHERE sentence_id = 0), fr AS (SELECT *, min(id) OVER (PARTITION BY items) AS rep FROM fa), fs AS (SELECT id, items FROM fr WHERE id = rep), jp AS (SELECT a.id AS i, b.id AS j, round(len(list_intersect(a.items, b.items))::DOUBLE / (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items))), 6) AS score FROM fs a JOIN fs b ON a.id < b.id AND least(len(a.items), len(b.items)) >= 0.8 * greatest(len(a.items), len(b.items)) UNION ALL SELECT rep, id, 1.0 FROM fr WHERE id <> rep)"
 
 QUERIES = {
-    "f01_supporting": lambda spark, sf: wide(attribution.supporting(word_scores(spark, sf), 3, 0.1)),
-    "e07_attribution_statistics": lambda spark, sf: wide(attribution.statistics(claims(spark, sf), attribution.supporting(word_scores(spark, sf), 3, 0.1))),
+    "f01_supporting": lambda spark, sf: wide(attribution.supporting(word_scores(spark, sf, 0.1), 3, 0.1)),
+    "e07_attribution_statistics": lambda spark, sf: wide(attribution.statistics(claims(spark, sf), attribution.supporting(word_scores(spark, sf, 0.1), 3, 0.1))),
     "i06_attribution": lambda spark, sf: wide(attribution.attribute(claims(spark, sf), table(spark, sf, "documents"), 2, 0.2)[0].select("claim_id", "evidence_count", F.coalesce(F.get("evidence", 0)["similarity"], F.lit(0.0)).alias("best"), F.get("evidence", 0)["strength"].alias("strength"))),
     "f02_top_k": lambda spark, sf: wide(top(word_scores(spark, sf), [F.desc("score"), C("claim_id"), C("doc_id"), C("sentence_id")], 50)),
     "f07_z_fusion": lambda spark, sf: wide(top(attribution.z_fused(staged(spark, sf), {"dense": 0.5, "ce": 0.5}, ["claim_id"], 4), [F.desc("fused"), C("doc_id"), C("sentence_id")], 5, ["claim_id"]).select("claim_id", "fused", "rank")),
