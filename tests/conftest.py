@@ -1,7 +1,9 @@
+import numbers
 import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -47,5 +49,5 @@ def canonical(pdf):
     columns = sorted(pdf.columns)
     out = []
     for row in pdf[columns].itertuples(index=False):
-        out.append(tuple("" if x is None or x != x else (repr(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)) for x in row))
+        out.append(tuple("" if pd.isna(x) else (repr(float(x)) if isinstance(x, numbers.Number) and not isinstance(x, bool) else str(x)) for x in row))
     return columns, sorted(out)
