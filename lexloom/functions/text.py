@@ -310,6 +310,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WS + "+"), lambda w: w != "")
 
 
+def term_words(listed: Column) -> Column:
+    """Of tokens, those that are terms: no special tokens in brackets, no word pieces, no single characters, no
+    punctuation."""
+    return F.filter(listed, lambda w: ~w.rlike(r"^\[.*\]$") & ~w.startswith("##") & (F.length(w) > 1) & ~w.rlike(r"^[\p{P}\p{S}]+$"))
+
+
+def scored_terms(items: Column, least: float = 0.1) -> Column:
+    """Of keyphrases (array<struct<text,score>>), those without a score, or with one of `least` or more."""
+    return F.filter(items, lambda x: x["score"].isNull() | (x["score"] >= least))
+
+
 def word_jaccard(a: Column, b: Column) -> Column:
     """Of the word sets; 0 if either is empty."""
     return set_jaccard(F.array_distinct(words(a)), F.array_distinct(words(b)))

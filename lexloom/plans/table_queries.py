@@ -161,7 +161,7 @@ QUERIES = {
     "a26_first_by_key": _first_by_key,
     "a28_graph_metadata": lambda spark, sf: wide((lambda e: graph.metadata(e, graph.communities(vectors(spark, sf).where("id < 200").select("id"), graph.sparsified(e, 0.55, 30), 1), vectors(spark, sf).where("id < 200")))(cluster_edges(spark, sf).select("i", "j", "score"))),
     "b30_record_sentences": _records,
-    "b32_terms": lambda spark, sf: wide(_docs(spark, sf).select("doc_id", F.size(F.filter(F.slice(T.words(C("text")), 1, 50), lambda w: ~w.rlike(r"^\[.*\]$") & ~w.startswith("##") & (F.length(w) > 1) & ~w.rlike(r"^[\p{P}\p{S}]+$"))).alias("n"))),
+    "b32_terms": lambda spark, sf: wide(_docs(spark, sf).select("doc_id", F.size(T.term_words(F.slice(T.words(C("text")), 1, 50))).alias("n"))),
     "c07_uncovered": _covered,
     "e11_merged_spans": lambda spark, sf: wide(spans.merged(_docs(spark, sf).select("source", (C("doc_id") % 7).alias("start"), (C("doc_id") % 7 + 3).alias("end"), (C("n_chars") % 50).cast("double").alias("importance")), ["source"]).select("source", "start", C("end").alias("stop"), "importance")),
     "e12_best_of_same": _same_items,
