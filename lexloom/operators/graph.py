@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +26,37 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def similarity_edges(members: DataFrame, least: float = 0.1, digits: int = 6) -> DataFrame:
+def similarity_edges(members: DataFrame, least: float = 0.1, digits: int = 6, rows: int = 1024) -> DataFrame:
     """(cluster_id, i, j, score), i < j, of members (cluster_id, id, vector) with a cosine above `least`.
 
-    Each two members of a cluster are an edge of it by definition of the operator; clusters are sets of one document.
+    Each two members of a cluster are an edge of it by definition of the operator. A cluster is packed into blocks of about
+    so many vectors, and each two of its blocks meet in a row of their own, so that a large cluster is no single task.
     """
-    a = members.select("cluster_id", F.col("id").alias("i"), F.col("vector").alias("va"))
-    b = members.select("cluster_id", F.col("id").alias("j"), F.col("vector").alias("vb"))
-    pairs = a.join(b, "cluster_id").where("i < j").withColumn("score", F.round(cosine(F.col("va"), F.col("vb")), digits))
-    return pairs.where(F.col("score") > least).select("cluster_id", "i", "j", "score")
+    kinds = dict(members.dtypes)
+    sizes = members.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("blocks"))
+    dealt = members.select("cluster_id", "id", F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") > 0).join(sizes, "cluster_id")
+    # What has another length has no cosine.
+    keys = ["cluster_id", "dim", "blocks"]
+    packed = dealt.groupBy("cluster_id", F.size("vector").alias("dim"), "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("b")).agg(F.collect_list(F.struct("id", "vector")).alias("x"))
+    packed = packed.select(*keys, "b", F.col("x.id").alias("ids"), F.flatten("x.vector").alias("values"))
+    a = packed.select(*keys, F.col("b").alias("a"), F.col("ids").alias("ids_a"), F.col("values").alias("values_a"), F.explode(F.sequence("b", F.col("blocks") - 1)).alias("b"))
+    met = a.join(packed, [*keys, "b"]).select("cluster_id", "dim", (F.col("a") == F.col("b")).alias("same"), "ids_a", "values_a", "ids", "values")
+    names = ["cluster_id", "i", "j", "score"]
+
+    def score(batches):
+        for pdf in batches:
+            for cluster, dim, same, ia, va, ib, vb in pdf.itertuples(index=False):
+                a, b = (np.asarray(v, float).reshape(-1, dim) for v in (va, vb))
+                ia, ib = np.asarray(ia), np.asarray(ib)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))
+                    hit = s > least - 10.0**-digits
+                i, j = np.nonzero(hit & (ia[:, None] < ib) if same else hit)
+                x, y = ia[i], ib[j]
+                yield pd.DataFrame({"cluster_id": cluster, "i": np.where(x < y, x, y), "j": np.where(x < y, y, x), "score": s[i, j]}, columns=names)
+
+    pairs = met.mapInPandas(score, f"cluster_id {kinds['cluster_id']}, i {kinds['id']}, j {kinds['id']}, score double")
+    return pairs.withColumn("score", F.round("score", digits)).where(F.col("score") > least)
 
 
 def sparsified(edges: DataFrame, least: float = 0.55, degree: int = 30) -> DataFrame:

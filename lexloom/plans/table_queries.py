@@ -159,7 +159,7 @@ QUERIES = {
     "a22_json_codec": lambda spark, sf: wide(vectors(spark, sf).select("id", F.from_json(F.to_json(F.struct("id", "label")), "id long, label int")["label"].alias("label"))),
     "a23_metadata": _metadata,
     "a26_first_by_key": _first_by_key,
-    "a28_graph_metadata": lambda spark, sf: wide((lambda e: graph.metadata(e, graph.communities(vectors(spark, sf).where("id < 200").select("id"), graph.sparsified(e, 0.55, 30), 1), vectors(spark, sf).where("id < 200")))(cluster_edges(spark, sf).select("i", "j", "score"))),
+    "a28_graph_metadata": lambda spark, sf: wide((lambda e: graph.metadata(e, graph.communities(vectors(spark, sf).select("id"), graph.sparsified(e, 0.55, 30), 1), vectors(spark, sf)))(cluster_edges(spark, sf).select("i", "j", "score"))),
     "b30_record_sentences": _records,
     "b32_terms": lambda spark, sf: wide(_docs(spark, sf).select("doc_id", F.size(T.term_words(F.slice(T.words(C("text")), 1, 50))).alias("n"))),
     "c07_uncovered": _covered,

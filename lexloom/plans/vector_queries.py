@@ -40,7 +40,7 @@ def ordered(spark, sf) -> DataFrame:
 
 
 def cluster_edges(spark, sf) -> DataFrame:
-    members = vectors(spark, sf).where("id < 200").select(C("label").alias("cluster_id"), "id", "vector")
+    members = vectors(spark, sf).select(C("label").alias("cluster_id"), "id", "vector")
     return graph.similarity_edges(members)
 
 
@@ -60,7 +60,7 @@ def _shortlist(spark, sf) -> DataFrame:
 
 def _communities(spark, sf) -> DataFrame:
     e = cluster_edges(spark, sf).select("i", "j", "score")
-    nodes = vectors(spark, sf).where("id < 200").select("id")
+    nodes = vectors(spark, sf).select("id")
     return wide(graph.communities(nodes, graph.sparsified(e, 0.55, 30), 2))
 
 
