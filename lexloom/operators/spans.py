@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.operators.attribution import word_scores
 
 
 def located_words(text: Column) -> Column:
@@ -135,16 +136,21 @@ def peak_spans(sents: DataFrame, tokens: DataFrame, top_k: int = 1, width: int =
     return joined.mapInPandas(each, f"doc_id {kind}, sentence_id int, start int, end int, score double")
 
 
-def chunk_evidence(docs: DataFrame, claim: str, most: int = 768, advance: int = 128, scorer=None) -> DataFrame:
-    """(doc_id, start, end, score): chunks by score against a claim, with offsets within the whole document.
+def chunk_evidence(docs: DataFrame, claims: DataFrame, most: int = 768, advance: int = 128, scorer=None) -> DataFrame:
+    """(claim_id, doc_id, start, end, score): chunks by score against claims (claim_id, text), with offsets within the
+    whole document.
 
-    scorer: (Column of chunk text, claim) to Column; word Jaccard by default.
+    Word Jaccard by default, where chunks and claims meet on shared words, and those that share none aren't listed.
+    scorer: (Column of chunk text, Column of claim text) to Column; each chunk meets each claim of the stated set.
     """
-    scorer = scorer or (lambda text, c: T.word_jaccard(text, F.lit(c)))
     rows = docs.select("doc_id", "text", F.explode(T.let(located_words(F.col("text")), lambda w: chunks(w, most, advance))).alias("c"))
     first, last = F.element_at("c.words", 1)["start"], F.element_at("c.words", -1)["end"]
     rows = rows.select("doc_id", first.alias("start"), last.alias("end"), F.substring("text", first + 1, last - first).alias("chunk"))
-    return rows.select("doc_id", "start", "end", F.round(scorer(F.col("chunk"), claim), 6).alias("score"))
+    if scorer:
+        met = rows.join(F.broadcast(claims.select("claim_id", F.col("text").alias("claim"))))
+        return met.select("claim_id", "doc_id", "start", "end", F.round(scorer(F.col("chunk"), F.col("claim")), 6).alias("score"))
+    scores = word_scores(claims, rows.select(F.struct("doc_id", "start", "end").alias("doc_id"), F.lit(0).alias("sentence_id"), F.col("chunk").alias("text")))
+    return scores.select("claim_id", "doc_id.doc_id", "doc_id.start", "doc_id.end", "score")
 
 
 def keyphrases(starts: DataFrame, ends: DataFrame, words: DataFrame, stop: tuple[str, ...], most: int = 5, least_start: float = 0.05, least: float = 0.1) -> DataFrame:

@@ -143,8 +143,8 @@ def _span_pipeline(spark, sf) -> DataFrame:
 
 
 def _evidence_chunks(spark, sf) -> DataFrame:
-    claim = table(spark, sf, "benchmark").orderBy("item_id").first()["text"]
-    return wide(spans.chunk_evidence(_docs(spark, sf).where("n_chars < 3000"), claim, 100, 64).select("doc_id", C("start").alias("first"), C("end").alias("last"), "score").where("score > 0"))
+    claims = table(spark, sf, "benchmark").select(C("item_id").alias("claim_id"), "text")
+    return wide(spans.chunk_evidence(_docs(spark, sf), claims, 100, 64).select("claim_id", "doc_id", C("start").alias("first"), C("end").alias("last"), "score").where("score > 0"))
 
 
 QUERIES = {

@@ -1,12 +1,14 @@
 """Registered queries against plain versions over whole tables: where the SQL of a query takes a part, that isn't enough."""
 
+import re
 from collections import defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from lexloom.operators import graph
+from lexloom.operators import graph, spans
 from lexloom.plans import registry
 
 
@@ -65,3 +67,32 @@ def test_graphs_of_all_vectors(spark, sf, edges):
     assert {r["id"]: r["community"] for r in rows(spark, sf, "g11_communities")} == after[1]
     one = rows(spark, sf, "a28_graph_metadata")[0]
     assert (one["pairs_scored"], one["communities"], one["nodes"]) == (sum(round(s, 6) > 0.1 for s in edges.values()), len(set(after[0].values())), len(ids))
+
+
+SPACE = " \t\n\r\f"
+
+
+def test_evidence_of_all_documents_and_claims(spark, sf):
+    docs, items = (pq.read_table(f"{sf}/{t}.parquet").to_pydict() for t in ("documents", "benchmark"))
+    words = lambda x: {w for w in re.split(f"[{SPACE}]+", x.lower()) if w}
+    claims = {i: words(t) for i, t in zip(items["item_id"], items["text"])}
+    want, longest = {}, 0
+    for d, text in zip(docs["doc_id"], docs["text"]):
+        at = [m.span() for m in re.finditer("[^ \t\n\x0b\f\r]+", text)]
+        for a in range(0, max(0, -(-(len(at) - 100) // 64)) * 64 + 1, 64) if at else ():
+            first, last = at[a][0], at[min(a + 100, len(at)) - 1][1]
+            chunk = words(text[first:last])
+            for i, c in claims.items():
+                if c & chunk:
+                    want[i, d, first, last] = len(c & chunk) / len(c | chunk)
+                    longest = max(longest, len(text))
+    got = {(r["claim_id"], r["doc_id"], r["first"], r["last"]): r["score"] for r in rows(spark, sf, "i07_evidence_chunks")}
+    assert got.keys() == want.keys() and all(abs(got[k] - s) < 1e-6 for k, s in want.items())
+    assert longest >= 3000 and len({k[0] for k in got}) > 1
+
+
+def test_evidence_by_a_scorer(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    claims = spark.createDataFrame([(7, "a"), (8, "xyz")], "claim_id long, text string")
+    got = spans.chunk_evidence(docs, claims, 2, 1, lambda chunk, claim: F.length(chunk) * F.length(claim))
+    assert sorted(tuple(r) for r in got.collect()) == [(7, 1, 0, 3, 3), (7, 1, 2, 5, 3), (8, 1, 0, 3, 9), (8, 1, 2, 5, 9)]
