@@ -20,7 +20,12 @@ ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
 KINDS = ("assign", "access", "hex")
-TOKEN = r"[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: From the length on that LEAST_BITS need in the widest alphabet.
+TOKEN = r"[A-Za-z0-9+/_-]{14,}+={0,2}"
+#: No digits, and no capital after a lone small letter: words, alone, joined by signs or by capitals.
+WORDS = r"^[+/_-]*+(?:[A-Z]*+[a-z]{2,}+[+/_-]*+|[A-Z]++[+/_-]++)*+[A-Z]*+$"
+#: Small words and numbers between signs.
+SLUG = r"^[+/_-]*+(?:[a-z]{2,}+|[0-9]++)(?:[+/_-]++(?:[a-z]{2,}+|[0-9]++))*+[+/_-]*+$"
 #: Symbols of each encoding, in their order.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -33,13 +38,17 @@ LEAST_BITS, RATE, STEPS, MOST = 80, 0.05, 8, 800
 
 
 def encoding(token: Column) -> Column:
-    """The encoding of a token without padding; null where its characters don't tell of one."""
-    digit, lower, upper = token.rlike("[0-9]"), token.rlike("[a-z]"), token.rlike("[A-Z]")
+    """The encoding of a token without padding: the smallest alphabet that holds all its characters.
+
+    Null where it has the form of words and numbers, which tests of so few characters can't tell from random ones.
+    """
+    words = token.rlike(WORDS) | token.rlike(SLUG)
     return (
-        F.when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & digit & (lower | upper), "hex")
-        .when(token.rlike("^[A-Z2-7]+$") & digit & upper, "base32")
-        .when(token.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$") & digit & (lower | upper), "base36")
-        .when(digit & lower & upper, "base64")
+        F.when(words, F.lit(None).cast("string"))
+        .when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex")
+        .when(token.rlike("^[A-Z2-7]+$"), "base32")
+        .when(token.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$"), "base36")
+        .when(token.rlike("^[A-Za-z0-9+/_-]+$"), "base64")
     )
 
 
