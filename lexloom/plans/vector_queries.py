@@ -66,14 +66,14 @@ def _communities(spark, sf) -> DataFrame:
 
 def _tree(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Supervisors of a made-up hierarchy: the parent of n is n div 3."""
-    n = vectors(spark, sf).where("id > 0 and id < 300").select((C("id") / 3).cast("long").alias("parent"), C("id").alias("child"))
+    n = vectors(spark, sf).where("id > 0").select((C("id") / 3).cast("long").alias("parent"), C("id").alias("child"))
     return n, spark.range(0, 3).select(C("id").alias("node"))
 
 
 def _chain_trees(spark, sf, roots: bool) -> DataFrame:
     n, _ = _tree(spark, sf)
     edges = n.withColumn("label", F.when(C("child") % 4 == 0, "corefer").otherwise("parent"))
-    members = vectors(spark, sf).where("id < 300").select((C("id") % 2).alias("chain_id"), C("id").alias("node")).union(vectors(spark, sf).where("id < 60").select(F.lit(2).cast("long"), "id"))
+    members = vectors(spark, sf).select((C("id") % 2).alias("chain_id"), C("id").alias("node")).union(vectors(spark, sf).select(F.lit(2).cast("long"), "id"))
     inside, top_ = graph.chain_trees(edges, members)
     return wide(top_ if roots else inside)
 
@@ -104,7 +104,7 @@ def _ranked_hits(spark, sf) -> DataFrame:
 
 def _soft_match(spark, sf) -> DataFrame:
     """Names matched exactly, and those without a match by suffix."""
-    want = table(spark, sf, "documents").where("doc_id < 40").select(F.when(C("doc_id") % 2 == 0, C("source")).otherwise(F.substring("source", 3, 10)).alias("name")).distinct()
+    want = table(spark, sf, "documents").select(F.when(C("doc_id") % 2 == 0, C("source")).otherwise(F.substring("source", 3, 10)).alias("name")).distinct()
     have = table(spark, sf, "documents").select("source").distinct()
     exact = want.join(have, C("name") == C("source"))
     # Names by their last characters: what is looked for is a suffix, so its hash meets those of all suffixes.

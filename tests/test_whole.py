@@ -120,3 +120,31 @@ def test_random_tokens_of_80_bits_are_tested(spark):
 def test_words_are_no_random_tokens(spark):
     words = ["internationalisation", "Donaudampfschiffahrt", "INTERNATIONALISATION", "getElementValueAndName", "path/to/some-other_place", "2024-01-15-some-title", "12345678901234567890"]
     assert encodings(spark, words) == [None] * len(words)
+
+
+def test_trees_of_all_vectors(spark, sf):
+    ids = pq.read_table(f"{sf}/embeddings.parquet")["vec_id"].to_pylist()
+    parent = {i: i // 3 for i in ids if i > 0}
+    want = {(r, r): 0 for r in range(3)}
+    for i in parent:
+        at, level = i, 0
+        while at in parent:
+            at, level = parent[at], level + 1
+            if at < 3:
+                want[at, i] = min(level, want.get((at, i), level))
+    assert {(r["root"], r["node"]): r["level"] for r in rows(spark, sf, "g14_descendants")} == want and max(i for _, i in want) >= 300
+    chains = {0: {i for i in ids if i % 2 == 0}, 1: {i for i in ids if i % 2}, 2: {*ids}}
+    inside = {(c, p, i, "parent" if i % 4 else "corefer") for c, m in chains.items() for i, p in parent.items() if i in m and p in m}
+    assert {(r["chain_id"], r["parent"], r["child"], r["label"]) for r in rows(spark, sf, "d15_chain_edges")} == inside
+    reached = {(c, i) for c, _, i, label in inside if label == "parent"}
+    free = {(c, i) for c, m in chains.items() for i in m} - reached
+    free |= {(c, i) for c, m in chains.items() if all((c, i) in reached for i in m) for i in m}
+    assert {(r["chain_id"], r["node"]) for r in rows(spark, sf, "d15_chain_roots")} == free
+
+
+def test_names_of_all_documents(spark, sf):
+    docs = pq.read_table(f"{sf}/documents.parquet").to_pydict()
+    have = {*docs["source"]}
+    names = {s if d % 2 == 0 else s[2:12] for d, s in zip(docs["doc_id"], docs["source"])}
+    want = {(n, n if n in have else min((s for s in have if s.endswith(n)), default=None)) for n in names}
+    assert {(r["name"], r["source"]) for r in rows(spark, sf, "d13_soft_match")} == {x for x in want if x[1] and x[0]}
