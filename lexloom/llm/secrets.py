@@ -1,10 +1,14 @@
 """9. Secrets: patterns, and a battery of randomness tests.
 
 Long tokens are read in the encoding that their characters tell of (hex, base 32, base 36, base 64). A token of random
-bits has symbols that are uniform (chi-squared), change sides of the middle as often as chance has it (runs), and don't
-depend on the one before (serial correlation). The three p-values are combined; tokens that are not random are told apart
-by a Benjamini-Hochberg procedure among tokens of the same encoding and about the same length. What stays is random, and
-a secret. DataFrame operations only.
+bits has symbols that are uniform (chi-squared, over cells wide enough for the token's length), change sides of the middle
+as often as chance has it (runs), and don't depend on the one before (serial correlation). The three are combined into a
+surprise: how unlikely random bits are to look like this token.
+
+What is reported is what looks more random than ordinary tokens do. For each encoding and length, ordinary tokens are the
+corpus's own long words and numbers, and made ones whose symbols all come from one class, the letters or the digits. The
+share of them with as little surprise is a token's p-value, and a Benjamini-Hochberg procedure keeps the share of ordinary
+tokens among those reported at the rate or below; where tokens are too short to tell, none is. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -26,84 +30,112 @@ TOKEN = r"[A-Za-z0-9+/_-]{14,}+={0,2}"
 WORDS = r"^[+/_-]*+(?:[A-Z]*+[a-z]{2,}+[+/_-]*+|[A-Z]++[+/_-]++)*+[A-Z]*+$"
 #: Small words and numbers between signs.
 SLUG = r"^[+/_-]*+(?:[a-z]{2,}+|[0-9]++)(?:[+/_-]++(?:[a-z]{2,}+|[0-9]++))*+[+/_-]*+$"
-#: Symbols of each encoding, in their order.
+#: Symbols of each encoding, in their order; - and _ are other signs for + and /.
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
-#: Bits that a secret has at least, the false-discovery rate, and steps of -log2(p) by which p-values are counted.
+SIZES = {"hex": 16, "base32": 32, "base36": 36, "base64": 64}
+FITS = {"hex": "^(?:[0-9a-f]+|[0-9A-F]+)$", "base32": "^[A-Z2-7]+$", "base36": "^(?:[a-z0-9]+|[A-Z0-9]+)$", "base64": "^[A-Za-z0-9+/_-]+$"}
+#: The first symbol and the width of the class that made ordinary tokens keep to: digits in hex, else letters of one case.
+CLASSES = {"hex": (0, 10), "base32": (0, 26), "base36": (10, 26), "base64": (26, 26)}
+#: Bits that a secret has at least, the false-discovery rate, and steps of surprise (bits) by which tokens are counted.
 LEAST_BITS, RATE, STEPS, MOST = 80, 0.05, 8, 800
+#: Length classes, two for each doubling, of which the last holds all longer tokens; made ordinary tokens of each.
+SHORTEST, LONGEST, DRAWS = 7, 18, 512
 
 
-def encoding(token: Column) -> Column:
-    """The encoding of a token without padding: the smallest alphabet that holds all its characters.
-
-    Null where it has the form of words and numbers, which tests of so few characters can't tell from random ones.
-    """
-    words = token.rlike(WORDS) | token.rlike(SLUG)
-    return (
-        F.when(words, F.lit(None).cast("string"))
-        .when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex")
-        .when(token.rlike("^[A-Z2-7]+$"), "base32")
-        .when(token.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$"), "base36")
-        .when(token.rlike("^[A-Za-z0-9+/_-]+$"), "base64")
-    )
+def ordinary(token: Column) -> Column:
+    """Whether a token has the form of words and numbers."""
+    return token.rlike(WORDS) | token.rlike(SLUG)
 
 
 def _upper_tail(z: Column) -> Column:
     """1 - Phi(z), by the rational approximation of Abramowitz and Stegun 26.2.17."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+    def tail(v: Column) -> Column:
+        t, x = v["t"], v["x"]
+        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return let(F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly, lambda p: F.when(v["z"] >= 0, p).otherwise(1 - p))
+
+    return let(z, lambda z: let(F.struct(z.alias("z"), F.abs(z).alias("x"), (1 / (1 + 0.2316419 * F.abs(z))).alias("t")), tail))
 
 
-def _battery(symbols: Column, size: Column) -> Column:
-    """-log2 of the combined p-value, of numbers below size."""
-    n = F.size(symbols).cast("double")
+def battery(symbols: Column, size: Column) -> Column:
+    """-log2 of the combined p-value of an array of two or more doubles, whole numbers below size.
+
+    One pass gives what the runs and the serial correlation need, one more for each cell what chi-squared needs: there are
+    as many cells as leave four symbols for each, two at least. Every value is bound once, so time goes with the length.
+    """
     zero = F.lit(0.0)
-    counts = F.transform(F.sequence(F.lit(0), size - 1), lambda s: F.size(F.filter(symbols, lambda x: x == s)).cast("double"))
-    df = (size - 1).cast("double")
-    chi = F.aggregate(counts, zero, lambda a, c: a + c * c) * size / n - n
-    z_chi = (F.pow(F.greatest(chi, zero) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
     middle = (size - 1) / F.lit(2.0)
-    above = F.aggregate(symbols, zero, lambda a, x: a + F.when(x > middle, 1.0).otherwise(0.0))
-    below = n - above
-    steps = F.sequence(F.lit(1), F.size(symbols) - 1)
-    runs = F.aggregate(steps, F.lit(1.0), lambda a, i: a + F.when((F.get(symbols, i) > middle) != (F.get(symbols, i - 1) > middle), 1.0).otherwise(0.0))
-    expected = 2 * above * below / n + 1
-    spread = F.sqrt(F.greatest(F.lit(1e-9), (expected - 1) * (expected - 2) / (n - 1)))
-    z_runs = F.when((above == 0) | (below == 0), F.lit(8.0)).otherwise((runs - expected) / spread)
-    mean = F.aggregate(symbols, zero, lambda a, x: a + x) / n
-    power = F.aggregate(symbols, zero, lambda a, x: a + (x - mean) * (x - mean))
-    serial = F.aggregate(steps, zero, lambda a, i: a + (F.get(symbols, i) - mean) * (F.get(symbols, i - 1) - mean))
-    z_serial = F.when(power <= 0, F.lit(8.0)).otherwise((serial / power + 1 / n) * F.sqrt(n))
-    least = F.lit(1e-30)
-    logs = [F.log(F.greatest(least, p)) for p in (_upper_tail(z_chi), 2 * _upper_tail(F.abs(z_runs)), 2 * _upper_tail(F.abs(z_serial)))]
+
+    def step(a: Column, x: Column) -> Column:
+        up = x > middle
+        return F.struct(
+            (a["sum"] + x).alias("sum"), (a["squares"] + x * x).alias("squares"), (a["products"] + F.coalesce(a["last"], zero) * x).alias("products"),
+            (a["above"] + F.when(up, 1.0).otherwise(0.0)).alias("above"), (a["runs"] + F.when(a["last"].isNull() | ((a["last"] > middle) != up), 1.0).otherwise(0.0)).alias("runs"), x.alias("last"),
+        )
+
+    names = ("sum", "squares", "products", "above", "runs")
+    start = F.struct(*[zero.alias(k) for k in names], F.lit(None).cast("double").alias("last"))
+
+    def chi(s: Column) -> Column:
+        n = F.size(s)
+        cells = F.greatest(F.lit(2), F.least(size, F.floor(n / 4).cast("int"))).cast("int")
+
+        def over(k: Column) -> Column:
+            placed = F.transform(s, lambda x: F.floor(x * k / size).cast("int"))
+            width = lambda c: F.ceil((c + 1) * size / k) - F.ceil(c * size / k)
+            seen = lambda p: F.transform(F.sequence(F.lit(0), k - 1), lambda c: let(F.size(F.filter(p, lambda x: x == c)).cast("double"), lambda o: o * o / width(c)))
+            value = let(placed, lambda p: F.aggregate(seen(p), zero, lambda a, c: a + c)) * size / n - n
+            spread = F.lit(2.0) / (9 * (k - 1))
+            return let(F.greatest(value, zero), lambda v: (F.pow(v / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
+
+        return let(cells, over)
+
+    def logs(m: Column) -> Column:
+        n, above = m["n"], m["s"]["above"]
+        below, mean = n - above, m["s"]["sum"] / n
+        expected = 2 * above * below / n + 1
+        z_runs = let(expected, lambda e: (m["s"]["runs"] - e) / F.sqrt(F.greatest(F.lit(1e-9), (e - 1) * (e - 2) / (n - 1))))
+        # All on one side: as unlikely as n draws from one half.
+        p_runs = F.when((above == 0) | (below == 0), F.pow(F.lit(2.0), 1 - n)).otherwise(2 * _upper_tail(F.abs(z_runs)))
+        power = m["s"]["squares"] - n * mean * mean
+        serial = m["s"]["products"] - mean * (2 * m["s"]["sum"] - m["first"] - m["s"]["last"]) + (n - 1) * mean * mean
+        p_serial = F.when(power <= 1e-9, F.lit(0.0)).otherwise(2 * _upper_tail(F.abs((serial / power + 1 / n) * F.sqrt(n))))
+        log = lambda p: F.log(F.greatest(F.lit(1e-30), F.least(F.lit(1.0), p)))
+        return -(log(_upper_tail(m["chi"])) + log(p_runs) + log(p_serial))
+
     # Fisher: minus twice the sum of the logarithms is chi-squared with 6 degrees, whose tail has a closed form.
-    half = -(logs[0] + logs[1] + logs[2])
-    return F.greatest(zero, (half - F.log(1 + half + half * half / 2)) / math.log(2))
+    combined = lambda h: F.greatest(zero, (h - F.log(1 + h + h * h / 2)) / math.log(2))
+    measures = lambda s: F.struct(F.size(s).cast("double").alias("n"), F.get(s, F.lit(0)).alias("first"), F.aggregate(s, start, step).alias("s"), chi(s).alias("chi"))
+    return let(symbols, lambda s: let(measures(s), lambda m: let(logs(m), combined)))
 
 
 def tested(token: Column) -> Column:
-    """struct<encoding,length,surprise>: surprise is -log2 of the combined p-value; null where there is no encoding."""
-    bare = F.regexp_replace(token, "=+$", "")
-    alphabet = F.create_map(*[x for k, v in ALPHABETS.items() for x in (F.lit(k), F.lit(v))])
+    """array<struct<encoding,length,surprise>> of a token without regard to padding.
+
+    A token is tested in the smallest alphabet that holds all its characters; one of the form of words and numbers, which
+    is no secret, in every alphabet that holds it, to tell what ordinary tokens look like. Empty below LEAST_BITS.
+    """
+    codes = F.array(*[F.struct(F.lit(k).alias("e"), F.lit(v).alias("symbols"), F.lit(SIZES[k]).alias("size"), F.lit(FITS[k]).alias("fits")) for k, v in ALPHABETS.items()])
 
     def measured(x: Column) -> Column:
-        chars = F.when(x["e"].isin("hex", "base36"), F.lower(x["t"])).otherwise(x["t"])
-        size = F.when(x["e"] == "base64", 64).otherwise(F.length(F.element_at(alphabet, x["e"])))
-        # - and _ are other signs for + and /.
-        symbols = F.transform(F.filter(F.split(chars, ""), lambda c: c != ""), lambda c: F.instr(F.element_at(alphabet, x["e"]), c) - 1)
-        symbols = F.transform(symbols, lambda s: F.when(s >= size, s - 2).otherwise(s).cast("double"))
-        bits = F.length(x["t"]) * F.log2(size.cast("double"))
-        value = let(symbols, lambda s: _battery(s, size))
-        return F.when(x["e"].isNotNull() & (bits >= LEAST_BITS), F.struct(x["e"].alias("encoding"), F.length(x["t"]).alias("length"), value.alias("surprise")))
+        held = F.filter(codes, lambda c: F.regexp_like(x["t"], c["fits"]))
+        held = F.when(x["plain"], held).otherwise(F.slice(held, 1, 1))
+
+        def one(c: Column) -> Column:
+            chars = F.when(c["e"].isin("hex", "base36"), F.lower(x["t"])).otherwise(x["t"])
+            places = F.transform(F.filter(F.split(chars, ""), lambda y: y != ""), lambda y: F.instr(c["symbols"], y) - 1)
+            symbols = F.transform(places, lambda s: F.when(s >= c["size"], s - 2).otherwise(s).cast("double"))
+            return F.struct(c["e"].alias("encoding"), F.length(x["t"]).alias("length"), battery(symbols, c["size"]).alias("surprise"))
+
+        return F.transform(F.filter(held, lambda c: F.length(x["t"]) * F.log2(c["size"].cast("double")) >= LEAST_BITS), one)
 
-    return let(let(bare, lambda t: F.struct(t.alias("t"), encoding(t).alias("e"))), measured)
+    return let(F.regexp_replace(token, "=+$", ""), lambda t: let(F.struct(t.alias("t"), ordinary(t).alias("plain")), measured))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -119,8 +151,9 @@ def base_spans(text: Column) -> dict[str, Column]:
 def detected(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, r1, r2, n_<kind>, base and all (arrays of sorted spans; kinds as listed, then random).
 
-    Random tokens that overlap a base span add nothing to it. A null text is empty. Rows with equal ids are documents of
-    their own; equal rows get equal results.
+    Random tokens that overlap a base span add nothing to it. A null text is empty, and a null id stays null. Rows with
+    equal ids are documents of their own; equal rows get equal results, and count once, as equal tokens do, in what decides
+    on random ones. An empty table gives none. A token of any length is tested whole, in time that goes with its length.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kinds = F.struct(*[c.alias(k) for k, c in base_spans(text).items()])
@@ -128,39 +161,58 @@ def detected(docs: DataFrame, rate: float = RATE) -> DataFrame:
     base = F.sort_array(F.concat(*[kinded(F.col(f"s.{k}"), k, i) for i, k in enumerate(KINDS)]))
     rows = rows.select("doc_id", "r1", "r2", base.alias("base"), *[F.size(f"s.{k}").cast("long").alias(f"n_{k}") for k in KINDS], "tokens")
     free = F.filter("tokens", lambda t: ~overlaps(F.col("base"), t["start"], t["end"]))
-    tests = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), tested(t["match"]).alias("t")))
-    rows = rows.withColumn("tested", F.filter(tests, lambda t: t["t"].isNotNull())).drop("tokens")
+    tests = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.xxhash64(t["match"]).alias("token"), ordinary(F.regexp_replace(t["match"], "=+$", "")).alias("plain"), tested(t["match"]).alias("tests")))
+    rows = rows.withColumn("tested", F.filter(tests, lambda t: F.size(t["tests"]) > 0)).drop("tokens")
     rows = stored(rows, "tokens")
     limits = stored(_limits(rows, rate), "limits")
-    seen = rows.select("r1", "r2", F.explode("tested").alias("x")).distinct().select("r1", "r2", "x.start", "x.end", *_stratum(F.col("x.t")))
+    seen = rows.select("r1", "r2", F.explode("tested").alias("x")).where("not x.plain").distinct().select("r1", "r2", "x.start", "x.end", *_stratum(F.col("x.tests")[0]))
     # At most a row for each encoding and length class.
-    random = seen.join(F.broadcast(limits), ["encoding", "length"], "left").where(F.col("limit").isNull() | (F.col("step") < F.col("limit")))
+    random = seen.join(F.broadcast(limits), ["encoding", "length"]).where(F.col("step") <= F.col("limit"))
     span = F.struct("start", F.lit(3).alias("rank"), "end", F.lit("random").alias("kind"))
     added = random.groupBy("r1", "r2").agg(F.collect_list(span).cast(KINDED).alias("random")).withColumnsRenamed({"r1": "t1", "r2": "t2"})
     out = rows.join(added, (F.col("r1") == F.col("t1")) & (F.col("r2") == F.col("t2")), "left")
     return out.select("doc_id", "r1", "r2", *[f"n_{k}" for k in KINDS], "base", F.sort_array(F.concat("base", F.coalesce("random", F.array().cast(KINDED)))).alias("all"))
 
 
+def _step(surprise: Column) -> Column:
+    return F.least(F.lit(MOST), F.floor(surprise * STEPS)).cast("int")
+
+
 def _stratum(t: Column) -> list[Column]:
-    """Encoding, length class (two for each doubling, none beyond 2 ** 20), and step of the surprise."""
-    return [t["encoding"].alias("encoding"), F.least(F.lit(40), F.floor(2 * F.log2(t["length"].cast("double")))).cast("int").alias("length"), F.least(F.lit(MOST), F.floor(t["surprise"] * STEPS)).cast("int").alias("step")]
+    """Encoding, length class, and step of the surprise."""
+    return [t["encoding"].alias("encoding"), F.least(F.lit(LONGEST), F.floor(2 * F.log2(t["length"].cast("double")))).cast("int").alias("length"), _step(t["surprise"]).alias("step")]
+
+
+def made_tokens(spark: SparkSession) -> DataFrame:
+    """(encoding, length, step, n): made ordinary tokens of each encoding and length class, of the shortest length in it,
+    with symbols of one class drawn by hash. The number of them is fixed."""
+    codes = F.array(*[F.struct(F.lit(k).alias("encoding"), F.lit(SIZES[k]).alias("size"), F.lit(a).alias("first"), F.lit(w).alias("width")) for k, (a, w) in CLASSES.items()])
+    lengths = LONGEST - SHORTEST + 1
+    draws = spark.range(len(CLASSES) * lengths * DRAWS).select("id", F.get(codes, F.floor(F.col("id") / (lengths * DRAWS)).cast("int")).alias("c"), (SHORTEST + F.floor(F.col("id") / DRAWS) % lengths).cast("int").alias("length"))
+    symbols = F.transform(F.sequence(F.lit(1), F.ceil(F.pow(F.lit(2.0), F.col("length") / 2)).cast("int")), lambda i: (F.col("c.first") + F.pmod(F.xxhash64("id", i), F.col("c.width"))).cast("double"))
+    return draws.select("c.encoding", "length", _step(battery(symbols, F.col("c.size"))).alias("step")).groupBy("encoding", "length", "step").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _limits(rows: DataFrame, rate: float) -> DataFrame:
-    """(encoding, length, limit): tokens of that step and above are not random.
+    """(encoding, length, limit): of each encoding and length class, the last step whose tokens are reported.
 
-    Benjamini-Hochberg over counted steps: of those steps whose p-value, 2 ** -(step / STEPS), is at most rate times the
-    share of tokens as far out or farther, the least.
+    A token's p-value is the share of ordinary tokens, itself added to them, with as little surprise or less. Benjamini-
+    Hochberg over counted steps: the last step whose p-value is at most rate times the share of tokens up to it.
     """
-    counts = rows.select(F.explode("tested").alias("x")).select(*_stratum(F.col("x.t"))).groupBy("encoding", "length", "step").agg(F.count(F.lit(1)).alias("n"))
+    seen = rows.select(F.explode("tested").alias("x")).select("x.token", "x.plain", F.explode("x.tests").alias("t")).select("token", "plain", *_stratum(F.col("t"))).distinct()
+    counts = seen.groupBy("encoding", "length", "step").agg(F.count_if("plain").alias("plain"), F.count_if(~F.col("plain")).alias("tokens"))
+    made = made_tokens(rows.sparkSession).select("encoding", "length", "step", F.col("n").alias("plain"), F.lit(0).cast("long").alias("tokens"))
+    both = counts.unionByName(made).groupBy("encoding", "length", "step").agg(F.sum("plain").alias("plain"), F.sum("tokens").alias("tokens"))
     group = Window.partitionBy("encoding", "length")
-    farther = F.sum("n").over(group.orderBy(F.desc("step")))
-    counts = counts.withColumn("share", farther / F.sum("n").over(group))
-    return counts.where(F.pow(F.lit(2.0), -F.col("step") / STEPS) <= rate * F.col("share")).groupBy("encoding", "length").agg(F.min("step").alias("limit"))
+    upto = lambda c: F.sum(c).over(group.orderBy("step"))
+    both = both.select("*", upto("plain").alias("less"), F.sum("plain").over(group).alias("every"), upto("tokens").alias("reported"), F.sum("tokens").over(group).alias("all"))
+    fine = (1 + F.col("less")) / (1 + F.col("every")) <= rate * F.col("reported") / F.col("all")
+    return both.where((F.col("tokens") > 0) & fine).groupBy("encoding", "length").agg(F.max("step").alias("limit"))
 
 
 def redacted(docs: DataFrame, **options) -> DataFrame:
-    """docs with each secret in the text replaced by [SECRET]."""
+    """docs with each secret in the text replaced by [SECRET]. Other columns, null texts and repeated rows stay as they are;
+    of spans that overlap, the first is replaced."""
     spans = detected(docs, **options).where(F.size("all") > 0).select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.col("all").alias("__spans")).distinct()
     keys = row_keys("doc_id", "text")
     joined = docs.withColumn("__1", keys[0]).withColumn("__2", keys[1]).join(spans, (F.col("__1") == F.col("__r1")) & (F.col("__2") == F.col("__r2")), "left")
