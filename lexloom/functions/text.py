@@ -38,6 +38,46 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Numbers that are summed at once.
+_RUN = 128
+
+
+def sums_before(values: Column) -> Column:
+    """Of array<int>, the sum of the values before each; in time that goes with their number.
+
+    A fold that makes an array copies it at each step. So only runs of bounded length are folded, and the sums of runs, and
+    of runs of runs, are added on top.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    fold = lambda v: F.aggregate(v, start, step, lambda a: a["out"])
+    runs = lambda v: F.sequence(F.lit(0), F.ceil(F.size(v) / _RUN).cast("int") - 1)
+    run = lambda v, k: F.slice(v, k * _RUN + 1, F.lit(_RUN))
+    totals = lambda v: F.transform(runs(v), lambda k: F.aggregate(run(v, k), F.lit(0), lambda a, x: a + x))
+    above = lambda v, sums: F.flatten(F.transform(runs(v), lambda k: let(F.get(sums, k), lambda s: F.transform(fold(run(v, k)), lambda x: x + s))))
+
+    def by_runs(v: Column, inner) -> Column:
+        return F.when(F.size(v) <= _RUN, fold(v)).otherwise(let(let(totals(v), inner), lambda sums: above(v, sums)))
+
+    return let(values, lambda v: by_runs(v, lambda t: by_runs(t, fold)))
+
+
+def located(text: Column, pattern: str) -> Column:
+    """array<struct<start,end,match>>: leftmost matches, apart, in code points, end exclusive.
+
+    The pieces between matches and the matches themselves add up to the text, so sums of their lengths are the offsets. The
+    pattern must not match the empty string.
+    """
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+
+    def placed(f: Column) -> Column:
+        sizes = F.zip_with(f["m"], F.slice(f["p"], F.lit(1), F.size(f["m"])), lambda m, p: F.length(p) + F.length(m))
+        end = lambda at, p: at + F.length(p)
+        return let(sums_before(sizes), lambda at: F.transform(f["m"], lambda m, i: let(end(F.get(at, i), F.get(f["p"], i)), lambda a: F.struct(a.alias("start"), (a + F.length(m)).alias("end"), m.alias("match")))))
+
+    return let(found, placed)
+
+
 def paragraphs(text: Column) -> Column:
     """The paragraphs of extracted text: hyphenation at line ends undone, blanks collapsed, scraps dropped."""
     joined = _chain(text, (r"-[ \t\n\x0B\f\r]*\n[ \t\n\x0B\f\r]*", ""), (r"\n[ \t\n\x0B\f\r]*\n+", _MARK), (r"\n+", " "), (r"[ \t]+", " "))
@@ -93,15 +133,11 @@ def sentence_texts(text: Column) -> Column:
 def sentence_spans(text: Column) -> Column:
     """array<struct<start,end,text>> in code points, end exclusive, a place for each sentence, empty ones too."""
     gaps = F.transform(F.regexp_extract_all(text, F.lit(rf"[.!?]({WS}+)"), F.lit(1)), F.length)
-    kind = "array<struct<start:int,end:int,text:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["s"])
-        return F.struct((end + F.coalesce(x["g"], F.lit(0))).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"), x["s"].alias("text")))).alias("out"))
+    def placed(s: Column) -> Column:
+        return let(sums_before(F.zip_with(s["s"], s["g"], lambda t, g: F.length(t) + F.coalesce(g, F.lit(0)))), lambda at: F.transform(s["s"], lambda t, i: F.struct(F.get(at, i).alias("start"), (F.get(at, i) + F.length(t)).alias("end"), t.alias("text"))))
 
-    both = F.zip_with(sentence_texts(text), gaps, lambda s, g: F.struct(s.alias("s"), g.alias("g")))
-    return F.aggregate(both, zero, step, lambda acc: acc["out"])
+    return let(F.struct(sentence_texts(text).alias("s"), gaps.alias("g")), placed)
 
 
 def claims(text: Column) -> Column:

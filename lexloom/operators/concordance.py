@@ -43,13 +43,8 @@ def lookup(index: DataFrame, terms: list[str], every: bool) -> DataFrame:
 
 def word_positions(sents: DataFrame, spans: Column) -> DataFrame:
     """(doc_id, sentence_id, pos, word): words that overlap any of the sentence's spans (array<struct<a,b>>)."""
-    gaps, found = F.split("text", r"\S+", -1), F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
-    kind = "array<struct<start:int,end:int,word:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    both = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
-    step = lambda a, x: F.struct((a["at"] + F.length(x["g"]) + F.length(x["w"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["g"])).alias("start"), (a["at"] + F.length(x["g"]) + F.length(x["w"])).alias("end"), x["w"].alias("word")))).alias("out"))
-    rows = sents.select("doc_id", "sentence_id", spans.alias("spans"), F.posexplode(F.aggregate(both, zero, step, lambda a: a["out"])).alias("pos", "w"))
-    return rows.where(F.exists("spans", lambda s: (F.col("w.start") < s["b"]) & (F.col("w.end") > s["a"]))).select("doc_id", "sentence_id", "pos", "w.word")
+    rows = sents.select("doc_id", "sentence_id", spans.alias("spans"), F.posexplode(T.located(F.col("text"), r"\S+")).alias("pos", "w"))
+    return rows.where(F.exists("spans", lambda s: (F.col("w.start") < s["b"]) & (F.col("w.end") > s["a"]))).select("doc_id", "sentence_id", "pos", F.col("w.match").alias("word"))
 
 
 def vector(vectors: DataFrame, query: list[float], limit: int = LIMIT, digits: int = 6) -> DataFrame:
@@ -78,9 +73,5 @@ def concordance(sents: DataFrame, docs: DataFrame, terms: list[str], mode: str =
 def kwic(hits: DataFrame, term: str, width: int = 50) -> DataFrame:
     """(doc_id, sentence_id, start, left, keyword, right) of each occurrence of a term, as it stands."""
     pattern = "(?i)" + T.escaped(term)
-    found, gaps = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    both = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
-    step = lambda a, x: F.struct((a["at"] + F.length(x["g"]) + F.length(x["w"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["g"])).alias("start"), (a["at"] + F.length(x["g"]) + F.length(x["w"])).alias("end")))).alias("out"))
-    rows = hits.select("doc_id", "sentence_id", "text", F.explode(F.aggregate(both, zero, step, lambda a: a["out"])).alias("s"))
+    rows = hits.select("doc_id", "sentence_id", "text", F.explode(T.located(F.col("text"), pattern)).alias("s"))
     return rows.select("doc_id", "sentence_id", F.col("s.start").alias("start"), T.kwic(F.col("text"), F.col("s.start"), F.col("s.end"), width).alias("k")).select("doc_id", "sentence_id", "start", "k.*")

@@ -13,16 +13,7 @@ from lexloom.operators.attribution import word_scores
 
 def located_words(text: Column) -> Column:
     """array<struct<start,end,word>> of what white space separates."""
-    found, gaps = F.regexp_extract_all(text, F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0)), F.split(text, r"[^ \t\n\x0B\f\r]+", -1)
-    kind = "array<struct<start:int,end:int,word:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["g"])
-        return F.struct((begin + F.length(x["w"])).alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), (begin + F.length(x["w"])).alias("end"), x["w"].alias("word")))).alias("out"))
-
-    both = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
-    return F.aggregate(both, zero, step, lambda a: a["out"])
+    return T.located(text, r"[^ \t\n\x0B\f\r]+").cast("array<struct<start:int,end:int,word:string>>")
 
 
 def token_importance(sents: DataFrame) -> DataFrame:
