@@ -6,9 +6,9 @@ as often as chance has it (runs), and don't depend on the one before (serial cor
 surprise: how unlikely random bits are to look like this token.
 
 What is reported is what looks more random than ordinary tokens do. For each encoding and length, ordinary tokens are the
-corpus's own long words and numbers, and made ones whose symbols all come from one class, the letters or the digits. The
-share of them with as little surprise is a token's p-value, and a Benjamini-Hochberg procedure keeps the share of ordinary
-tokens among those reported at the rate or below; where tokens are too short to tell, none is. DataFrame operations only.
+corpus's own long words and numbers, and made ones of words and numbers in turn. The share of them with as little surprise
+is a token's p-value, and a Benjamini-Hochberg procedure keeps the share of ordinary tokens among those reported at the
+rate or below; where tokens are too short to tell, none is. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -39,8 +39,11 @@ ALPHABETS = {
 }
 SIZES = {"hex": 16, "base32": 32, "base36": 36, "base64": 64}
 FITS = {"hex": "^(?:[0-9a-f]+|[0-9A-F]+)$", "base32": "^[A-Z2-7]+$", "base36": "^(?:[a-z0-9]+|[A-Z0-9]+)$", "base64": "^[A-Za-z0-9+/_-]+$"}
-#: The first symbol and the width of the class that made ordinary tokens keep to: digits in hex, else letters of one case.
-CLASSES = {"hex": (0, 10), "base32": (0, 26), "base36": (10, 26), "base64": (26, 26)}
+#: Of made ordinary tokens: the symbols that capital A, small a and the first digit are, and how many digits there are. In
+#: hex, which has no words, they are numbers.
+PLACES = {"hex": (None, None, 0, 10), "base32": (0, 0, 26, 6), "base36": (10, 10, 0, 10), "base64": (0, 26, 52, 10)}
+#: Symbols of a word or number; of PARTS one is a number; letters from frequent to rare.
+PART, PARTS, LETTERS = 6, 4, "etaoinshrdlcumwfgypbvkjxqz"
 #: Bits that a secret has at least, the false-discovery rate, and steps of surprise (bits) by which tokens are counted.
 LEAST_BITS, RATE, STEPS, MOST = 80, 0.05, 8, 800
 #: Length classes, two for each doubling, of which the last holds all longer tokens; made ordinary tokens of each.
@@ -184,12 +187,23 @@ def _stratum(t: Column) -> list[Column]:
 
 
 def made_tokens(spark: SparkSession) -> DataFrame:
-    """(encoding, length, step, n): made ordinary tokens of each encoding and length class, of the shortest length in it,
-    with symbols of one class drawn by hash. The number of them is fixed."""
-    codes = F.array(*[F.struct(F.lit(k).alias("encoding"), F.lit(SIZES[k]).alias("size"), F.lit(a).alias("first"), F.lit(w).alias("width")) for k, (a, w) in CLASSES.items()])
+    """(encoding, length, step, n): made ordinary tokens of each encoding and length class, of the shortest length in it.
+
+    Words of frequent letters, half of them with a capital, and numbers, drawn by hash. The number of tokens is fixed.
+    """
+    codes = F.array(*[F.struct(F.lit(k).alias("encoding"), F.lit(SIZES[k]).alias("size"), F.lit(c).cast("int").alias("capital"), F.lit(s).cast("int").alias("small"), F.lit(d).alias("digit"), F.lit(n).alias("digits")) for k, (c, s, d, n) in PLACES.items()])
     lengths = LONGEST - SHORTEST + 1
-    draws = spark.range(len(CLASSES) * lengths * DRAWS).select("id", F.get(codes, F.floor(F.col("id") / (lengths * DRAWS)).cast("int")).alias("c"), (SHORTEST + F.floor(F.col("id") / DRAWS) % lengths).cast("int").alias("length"))
-    symbols = F.transform(F.sequence(F.lit(1), F.ceil(F.pow(F.lit(2.0), F.col("length") / 2)).cast("int")), lambda i: (F.col("c.first") + F.pmod(F.xxhash64("id", i), F.col("c.width"))).cast("double"))
+    draws = spark.range(len(PLACES) * lengths * DRAWS).select("id", F.get(codes, F.floor(F.col("id") / (lengths * DRAWS)).cast("int")).alias("c"), (SHORTEST + F.floor(F.col("id") / DRAWS) % lengths).cast("int").alias("length"))
+    draw = lambda k, x, n: F.pmod(F.xxhash64("id", F.lit(k), x), n).cast("int")
+
+    def symbol(i: Column) -> Column:
+        part = F.floor(i / PART).cast("int")
+        letter = F.get(F.array(*[F.lit(ord(x) - 97) for x in LETTERS]), F.least(draw(2, i, F.lit(26)), draw(3, i, F.lit(26))))
+        number = F.col("c.digit") + draw(4, i, F.col("c.digits"))
+        capital = (i % PART == 0) & (draw(1, part, F.lit(2)) == 0)
+        return F.when(F.col("c.small").isNull() | (draw(0, part, F.lit(PARTS)) == 0), number).when(capital, F.col("c.capital") + letter).otherwise(F.col("c.small") + letter).cast("double")
+
+    symbols = F.transform(F.sequence(F.lit(0), F.ceil(F.pow(F.lit(2.0), F.col("length") / 2)).cast("int") - 1), symbol)
     return draws.select("c.encoding", "length", _step(battery(symbols, F.col("c.size"))).alias("step")).groupBy("encoding", "length", "step").agg(F.count(F.lit(1)).alias("n"))
 
 
