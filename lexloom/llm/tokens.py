@@ -3,7 +3,8 @@
 The tokenizer splits texts at white space, and never lets a match of its word pattern run from an ASCII letter into ASCII
 punctuation. So a batch of texts is cut there, each different piece goes through the library once, and the ids of the
 texts are gathered from those of the pieces. Pieces keep every character that is not white space; what the library does
-with case and composed characters it does within a piece.
+with case and composed characters it does within a piece. Texts that may hold the name of an added token, which the library
+finds before it splits anything, go through it whole.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ _LOWER[65:91] = 32
 
 
 class Encoder:
-    """Encodes batches of texts; texts that hold the name of a special token are ordinary texts."""
+    """Encodes batches of texts, as the library does with add_special_tokens=False: the name of an added token in a text is
+    that token."""
 
     def __init__(self, path: str):
         import os
@@ -44,7 +46,9 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # What an added token's name begins with up to its first letter, or the whole name: texts without any hold none.
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = sorted({re.match(r"[^\w\s]{2,}", n)[0] if re.match(r"[^\w\s]{2,}", n) else n for n in names})
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known: dict[bytes, bytes] = {}
         # Lower-case words of these letters pass normalization unchanged and are one match of the word pattern each: many
@@ -82,6 +86,18 @@ class Encoder:
 
     def encode(self, texts: pa.StringArray, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the n + 1 places where texts begin. Null is the empty text."""
+        marked = np.zeros(len(texts), bool)
+        for mark in self.marks:
+            marked |= pc.fill_null(pc.match_substring(texts, mark, ignore_case=True), False).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._by_pieces(texts, end)
+        ids, places = self._by_pieces(pc.if_else(pa.array(marked), "", texts), end)
+        extra = [] if end is None else [end]
+        whole = iter(x.ids for x in self.tokenizer.encode_batch_fast(texts.filter(pa.array(marked)).to_pylist(), add_special_tokens=False))
+        parts = [np.array([*next(whole), *extra], np.uint32) if m else ids[a:b] for m, a, b in zip(marked.tolist(), places[:-1].tolist(), places[1:].tolist(), strict=True)]
+        return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts], dtype=np.int64))
+
+    def _by_pieces(self, texts: pa.StringArray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
         texts = texts.cast(pa.large_binary())
         bounds = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
