@@ -1,7 +1,7 @@
 """4. Quality rules: measures of each text, and the frequency of lines across the documents of a host.
 
-Normalised lines are hashed, and the distinct documents of a host that hold each are counted; exact copies of a document
-count once. Lines above the limits are removed, and documents of which too little is left are rejected, like those that
+Normalised lines are hashed, and the distinct documents of a host that hold each are counted, copies of a document under
+other ids too. Lines above the limits are removed, and documents of which too little is left are rejected, like those that
 fail the base rules. DataFrame operations only.
 """
 
@@ -68,7 +68,6 @@ def measured(docs: DataFrame) -> DataFrame:
         F.col("source").cast("string").alias("host"),
         F.xxhash64("doc_id", "source", "text").alias("r1"),
         F.hash("text", "doc_id").alias("r2"),
-        F.xxhash64("text").alias("content"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         let(raw, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
         let(line_words(text), measures).alias("m"),
@@ -80,10 +79,10 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(rows: DataFrame, least_docs: int, least_share: float) -> DataFrame:
     """(host, k) of the lines above the limits. As each is in a share of the host's documents, a host has no more of them
-    than 1 / least_share times the lines of a document."""
-    contents = rows.select("host", "content", F.explode(F.transform("lines", lambda x: x["k"])).alias("k")).distinct()
-    counts = contents.groupBy("host", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_docs)
-    hosts = rows.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs")).withColumnRenamed("host", "h")
+    than 1 / least_share times the lines of a document. Equal rows are one document."""
+    held = rows.select("host", "r1", "r2", F.explode(F.array_distinct(F.transform("lines", lambda x: x["k"]))).alias("k")).distinct()
+    counts = held.groupBy("host", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_docs)
+    hosts = rows.select("host", "r1", "r2").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs")).withColumnRenamed("host", "h")
     above = counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > least_share * F.col("docs"))
     return above.select(F.col("host").alias("fh"), F.col("k").alias("fk"))
 
@@ -105,7 +104,10 @@ def judged(docs: DataFrame, least_docs: int = LEAST_DOCS, least_share: float = L
 
 
 def cleaned(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that are kept, with their columns, without the lines above the limits; n_chars, if there, follows."""
+    """The documents that are kept, with their columns, without the lines above the limits; n_chars, if there, follows.
+
+    A null text is empty, and goes. Equal rows all stay or all go. An empty table gives none.
+    """
     verdicts = judged(docs, **limits).where("not kept or gone is not null").select("r1", "r2", "kept", "gone").distinct()
     own = docs.withColumn("__1", F.xxhash64("doc_id", "source", "text")).withColumn("__2", F.hash("text", "doc_id"))
     verdicts = verdicts.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.col("kept").alias("__kept"), F.col("gone").alias("__gone"))
@@ -140,8 +142,8 @@ v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 l AS (SELECT doc_id, source, text, lower(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ')) AS k,
         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw
       FROM (SELECT doc_id, source, text, unnest(ls) AS line FROM v)),
-f AS (SELECT source, k, count(DISTINCT text) AS n FROM l GROUP BY source, k),
-h AS (SELECT source, count(DISTINCT text) AS docs FROM t GROUP BY source),
+f AS (SELECT source, k, count(DISTINCT (doc_id, text)) AS n FROM l GROUP BY source, k),
+h AS (SELECT source, count(DISTINCT (doc_id, text)) AS docs FROM t GROUP BY source),
 a AS (SELECT f.source, f.k FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE n > 20 AND n > 0.05 * docs),
 d AS (SELECT doc_id, l.source, text, sum(nw) AS lost FROM l JOIN a ON l.source IS NOT DISTINCT FROM a.source AND l.k = a.k GROUP BY ALL)
 SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
