@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom.functions.text import located
+
 #: A word is a maximal run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -69,38 +71,9 @@ def let(value: Column, body) -> Column:
 
 
 def code_spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start,end,match>>, in code points, end exclusive.
-
-    The pieces between matches and the matches themselves add up to the text, so running sums of their lengths are the
-    offsets. The pattern must not match the empty string.
-    """
-    found = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
-        F.split(text, pattern, -1).alias("p"),
-    )
-    step = lambda acc, i_m_p: F.struct(
-        (acc["at"] + F.length(i_m_p["p"]) + F.length(i_m_p["m"])).alias("at"),
-        F.concat(
-            acc["out"],
-            F.array(
-                F.struct(
-                    (acc["at"] + F.length(i_m_p["p"])).alias("start"),
-                    (acc["at"] + F.length(i_m_p["p"]) + F.length(i_m_p["m"])).alias("end"),
-                    i_m_p["m"].alias("match"),
-                )
-            ),
-        ).alias("out"),
-    )
-    kind = "array<struct<start:int,end:int,match:string>>"
-    return let(
-        found,
-        lambda f: F.aggregate(
-            F.zip_with(f["m"], F.slice(f["p"], F.lit(1), F.size(f["m"])), lambda m, p: F.struct(m.alias("m"), p.alias("p"))),
-            F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-            step,
-            lambda acc: acc["out"],
-        ),
-    )
+    """Leftmost non-overlapping matches as array<struct<start,end,match>>, in code points, end exclusive. The pattern must
+    not match the empty string."""
+    return located(text, pattern)
 
 
 def prefix_sums(rows: DataFrame, group: list[str], order: list[str], value: str, bucket: str, out: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """5. Personal data: patterns, and information-theoretic sanitisation.
 
-Emails, IP addresses, card and phone numbers are found by pattern; each different value is a protected entity. How much a
-term reveals of an entity is estimated from the corpus: PMI(entity; term), over documents in which the term stands near
-the entity, against the information IC(entity) that there is to hide. A term that discloses nearly all of it is removed;
-one that discloses much of it is generalised. DataFrame operations only.
+Emails, IP addresses, card and phone numbers are found by pattern. Each different value is a protected entity, and so is
+the group that it belongs to: an email's domain, an address's network, a card's issuer, a phone number's area. How much a
+term reveals of an entity is estimated from the corpus: PMI(entity; term) over whole texts, against the information
+IC(entity) that there is to hide. A term that discloses nearly all of it is removed wherever it stands in a text of the
+entity; one that discloses much of it is generalised to the kind of entity that it reveals. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)?(?:\.|$)){4}$"
 KINDS = ("email", "ip", "card", "phone")
 TERM = r"[\p{L}\p{M}]{4,}+"
-#: Code points on each side of a value in which terms are near it.
-NEAR = 64
-#: Different texts in which a term must stand near a value; shares of IC from which a term is generalised, and removed.
-SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.97
+#: Shares of IC from which a term is generalised, and removed.
+GENERALISE, REMOVE = 0.9, 0.97
+#: Texts without the entity that are added to a term's own, so that what is seen once or twice proves less.
+PRIOR = 0.5
 
 
 def _digits(match: Column) -> Column:
@@ -53,75 +54,112 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def entities(kind: str, match: Column) -> Column:
+    """The protected entities of a match: its value, and the group that it belongs to."""
+    group = {
+        "email": F.substring_index(match, "@", -1),
+        "ip": F.substring_index(match, ".", 3),
+        "card": F.substring(_digits(match), 1, 6),
+        "phone": F.substring(_digits(match), 1, 4),
+    }[kind]
+    value = match if kind in ("email", "ip") else _digits(match)
+    return F.array(F.concat(F.lit(f"{kind}:"), F.lower(value)), F.concat(F.lit(f"{kind} of "), F.lower(group)))
+
+
 def found(docs: DataFrame) -> DataFrame:
-    """Of docs (doc_id, text): doc_id, r1, r2, content, the spans of each kind, and near: terms next to values."""
+    """Of docs (doc_id, text): doc_id, r1, r2, content, the spans of each kind, ents (entities, as struct<e,kind>), terms
+    (hashes of the different ones), and words (places of all terms) where there are entities."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys("doc_id", "text"), F.xxhash64("text").alias("content"), text.alias("text"), F.struct(*[c.alias(k) for k, c in base_spans(text).items()]).alias("s"))
-    every = F.concat(*[F.transform(F.col(f"s.{k}"), lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit(f"{k}:"), F.lower(s["match"])).alias("entity"))) for k in KINDS])
 
-    def near(spans: Column) -> Column:
-        def around(s: Column) -> Column:
-            first = F.greatest(F.lit(0), s["start"] - NEAR)
-            left = F.substring(F.col("text"), first + 1, s["start"] - first)
-            # A word that the window cuts is no term of it.
-            left = F.when(first > 0, F.regexp_replace(left, r"^[\p{L}\p{M}]++", F.lit(""))).otherwise(left)
-            right = F.substring(F.col("text"), s["end"] + 1, F.lit(NEAR))
-            right = F.when(s["end"] + NEAR < F.length("text"), F.regexp_replace(right, r"[\p{L}\p{M}]++$", "")).otherwise(right)
-            at = lambda piece, begin: F.transform(code_spans(piece, TERM), lambda t: F.struct((begin + t["start"]).alias("start"), (begin + t["end"]).alias("end"), F.lower(t["match"]).alias("term")))
-            terms = F.concat(let(left, lambda x: at(x, s["start"] - F.length(x))), at(right, s["end"]))
-            return F.transform(F.filter(terms, lambda t: ~overlaps(spans, t["start"], t["end"])), lambda t: F.struct(s["entity"].alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))
+    def protected(kind: str, rank: int) -> Column:
+        one = lambda s: F.transform(entities(kind, s["match"]), lambda e: F.struct(F.xxhash64(e).alias("e"), F.lit(rank).alias("kind")))
+        return F.flatten(F.transform(F.col(f"s.{kind}"), one))
+
+    each = [protected(k, i) for i, k in enumerate(KINDS)]
+    base = base.withColumn("ents", F.array_distinct(F.concat(*each)))
+    terms = F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))), lambda t: F.xxhash64(t))
+    words = F.transform(code_spans(F.col("text"), TERM), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.xxhash64(F.lower(w["match"])).alias("t")))
+    words = F.when(F.size("ents") > 0, words).otherwise(F.array().cast("array<struct<start:int,end:int,t:bigint>>"))
+    return base.select("doc_id", "r1", "r2", "content", "s.*", "ents", terms.alias("terms"), words.alias("words"))
 
-        return F.flatten(F.transform(spans, around))
 
-    kind = "array<struct<entity:string,term:string,start:int,end:int>>"
-    return base.select("doc_id", "r1", "r2", "content", "s.*", let(every, lambda e: F.when(F.size(e) > 0, near(e)).otherwise(F.array().cast(kind))).alias("near"), F.array_distinct(F.transform(every, lambda e: e["entity"])).alias("entities"))
+def _places(rows: DataFrame, by: str) -> DataFrame:
+    """(by, n, s1, s2): of (content, by), in how many contents each stands, and a signature of the set of them."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("content")).alias("s1"), F.bit_xor(F.xxhash64("content", F.lit(1))).alias("s2"))
 
 
-def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """(entity, term, share) of the terms that disclose at least that share of an entity's information.
+def disclosing(rows: DataFrame, least: float = GENERALISE, prior: float = PRIOR) -> DataFrame:
+    """(content, t, share, kind): the terms of each text that disclose at least that share of the information of one of its
+    entities, the greatest share, and the first kind of such an entity.
 
-    Probabilities are shares of all documents. Support counts different texts, so that copies of one give no evidence.
+    share = log(joint / (n_term + prior) * n / n_entity) / log(n / n_entity), counted over different texts, so that copies of
+    one are no more evidence than itself. Entities that stand in the same texts are counted together, and so are terms: a
+    page of thousands of names and addresses that stand nowhere else is one pair, not millions. A term is looked at only in
+    texts with an entity of which it could disclose enough, as joint is n_entity at most.
     """
-    n = rows.count()
-    pairs = rows.select("r1", "r2", "content", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x")).select("r1", "r2", "content", "x.*")
-    texts = pairs.groupBy("entity", "term", "content").agg(F.count(F.lit(1)).alias("n"))
-    joint = stored(texts.groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support), "joint")
-    per_entity = rows.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    per_term = docs.select(F.explode(words).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_term"))
-    if joint.isEmpty():
-        per_term = per_term.limit(0)
-    both = joint.join(per_entity, F.col("entity") == F.col("e")).join(per_term, F.col("term") == F.col("t"))
-    pmi = F.log(F.col("joint") * F.lit(float(n)) / (F.col("n_entity").cast("double") * F.col("n_term")))
-    share = F.round(pmi / F.log(F.lit(float(n)) / F.col("n_entity")), 9)
-    return both.where(F.col("n_entity") < n).withColumn("share", share).where(F.col("share") >= least).select("entity", "term", "share")
-
-
-def detected(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """doc_id, r1, r2, n_<kind>, base and all (array of sorted spans; kinds as listed, then term and gone).
-
-    term spans are to be generalised, gone spans to be removed. A null text is empty. Rows with equal ids are documents of
-    their own; equal rows get equal results.
+    n = float(rows.select("content").distinct().count())
+    held = stored(rows.where(F.size("ents") > 0).groupBy("content").agg(F.first("ents").alias("ents"), F.first("terms").alias("terms")), "held")
+    if held.isEmpty():
+        return held.select("content", F.lit(None).cast("long").alias("t"), F.lit(None).cast("double").alias("share"), F.lit(None).cast("int").alias("kind"))
+    ents = held.select("content", F.explode("ents").alias("x")).select("content", "x.e", "x.kind")
+    each = _places(ents.select("content", "e"), "e").where(F.col("n") < n).select("e", F.col("n").alias("n_entity"), F.xxhash64("n", "s1", "s2").alias("ec"))
+    ents = stored(ents.join(each, "e").groupBy("content", "ec").agg(F.first("n_entity").alias("n_entity"), F.min("kind").alias("kind")), "entity-classes")
+    most = (1 + 1e-9) * F.pow(F.max("n_entity").cast("double"), F.lit(least)) * n ** (1 - least)
+    bounds = ents.groupBy("content").agg(most.alias("most"))
+    texts = rows.groupBy("content").agg(F.first("terms").alias("terms"))
+    n_term = texts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_term"))
+    terms = held.select("content", F.explode("terms").alias("t"))
+    own = _places(terms, "t").join(n_term, "t").where(F.col("n_term") + prior <= n**(1 - least) * F.pow(F.col("n").cast("double"), F.lit(least)) * (1 + 1e-9))
+    terms = terms.join(own.select("t", "n_term", F.xxhash64("n_term", "s1", "s2").alias("tc")), "t").join(bounds, "content").where(F.col("n_term") + prior <= F.col("most"))
+    terms = stored(terms.select("content", "t", "tc", "n_term"), "term-classes")
+    pairs = ents.join(terms.select("content", "tc", "n_term").distinct(), "content").groupBy("ec", "tc", "n_entity", "n_term", "kind").agg(F.count(F.lit(1)).alias("joint"))
+    pairs = pairs.groupBy("ec", "tc", "n_entity", "n_term").agg(F.sum("joint").alias("joint"), F.min("kind").alias("kind"))
+    hidden = F.log(n / F.col("n_entity"))
+    share = F.round(F.log(F.col("joint") / (F.col("n_term") + prior) * n / F.col("n_entity")) / hidden, 9)
+    pairs = pairs.withColumn("share", share).where(F.col("share") >= least).select("ec", "tc", "share", F.col("kind").alias("reveals"))
+    best = ents.join(pairs, "ec").groupBy("content", "tc").agg(F.max("share").alias("share"), F.min("reveals").alias("kind"))
+    return terms.join(best, ["content", "tc"]).select("content", "t", "share", "kind")
+
+
+def detected(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, prior: float = PRIOR) -> DataFrame:
+    """doc_id, r1, r2, n_<kind>, base and all (array of sorted spans; kinds as listed, then term and gone), and reveals, an
+    array of the kind that each of its term spans reveals, by start.
+
+    term spans are to be generalised, gone spans to be removed; neither overlaps a base span. A null text is empty, a null id
+    stays null. Rows with equal ids are documents of their own; equal rows get equal results. An empty table gives none. Whole
+    texts of any length are taken.
     """
     rows = stored(found(docs), "found")
-    terms = stored(disclosing(docs, rows, support, generalise), "disclosing").select(F.col("entity").alias("e"), F.col("term").alias("t"), "share")
-    places = rows.select("r1", "r2", F.explode("near").alias("x")).select("r1", "r2", "x.*")
-    places = places.join(terms, (F.col("entity") == F.col("e")) & (F.col("term") == F.col("t")))
-    places = places.groupBy("r1", "r2", "start", "end").agg(F.max("share").alias("share"))
+    terms = stored(disclosing(rows, generalise, prior), "disclosing").select(F.col("content").alias("c"), F.col("t").alias("dt"), "share", F.col("kind").alias("reveals"))
+    words = rows.where(F.size("ents") > 0).groupBy("content").agg(F.first("words").alias("words"))
+    places = words.select("content", F.explode("words").alias("w")).join(terms, (F.col("content") == F.col("c")) & (F.col("w.t") == F.col("dt")))
     gone = F.col("share") >= remove
-    span = F.struct("start", F.when(gone, 5).otherwise(4).alias("rank"), "end", F.when(gone, "gone").otherwise("term").alias("kind"))
-    added = places.groupBy("r1", "r2").agg(F.collect_list(span).cast(KINDED).alias("terms")).withColumnsRenamed({"r1": "t1", "r2": "t2"})
-    out = rows.join(added, (F.col("r1") == F.col("t1")) & (F.col("r2") == F.col("t2")), "left")
+    names = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("reveals") + 1)
+    span = F.struct(F.col("w.start").alias("start"), F.when(gone, 5).otherwise(4).alias("rank"), F.col("w.end").alias("end"), F.when(gone, "gone").otherwise("term").alias("kind"), names.alias("reveals"))
+    added = places.groupBy("c").agg(F.sort_array(F.collect_list(span)).alias("terms"))
     base = F.sort_array(F.concat(*[kinded(F.col(k), k, i) for i, k in enumerate(KINDS)]))
-    return out.select("doc_id", "r1", "r2", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"), F.sort_array(F.concat(base, F.coalesce("terms", F.array().cast(KINDED)))).alias("all"))
+    out = rows.drop("terms", "words").withColumn("base", base).join(added, F.col("content") == F.col("c"), "left")
+    free = F.filter("terms", lambda t: ~overlaps(F.col("base"), t["start"], t["end"]))
+    out = out.withColumn("terms", F.when(F.col("terms").isNotNull(), free).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,reveals:string>>")))
+    every = F.sort_array(F.concat("base", F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end"), t["kind"].alias("kind")))))
+    return out.select("doc_id", "r1", "r2", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], "base", every.alias("all"), F.transform("terms", lambda t: t["reveals"]).alias("reveals"))
 
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:
-    """docs with values and disclosing terms replaced in the text: a value by its kind, a term by [TERM] or nothing."""
-    spans = detected(docs, **options).where(F.size("all") > 0).select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.col("all").alias("__spans")).distinct()
+    """docs with values and disclosing terms replaced in the text: a value by its kind, such as [EMAIL], a term by the kind
+    that it reveals, such as [EMAIL TERM], or by nothing.
+
+    Other columns, null texts and repeated rows stay as they are; of base spans that overlap, the first is replaced.
+    """
+    found = detected(docs, **options).where(F.size("all") > 0)
+    # Spans of all kinds in order, each with what stands in its place.
+    terms = F.filter("all", lambda s: s["rank"] >= 4)
+    by = F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by"))), F.zip_with(terms, "reveals", lambda s, r: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.when(s["kind"] == "gone", "").otherwise(F.concat(F.lit("["), F.upper(r), F.lit(" TERM]"))).alias("by"))))
+    spans = found.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.sort_array(by).alias("__spans")).distinct()
     keys = row_keys("doc_id", "text")
     joined = docs.withColumn("__1", keys[0]).withColumn("__2", keys[1]).join(spans, (F.col("__1") == F.col("__r1")) & (F.col("__2") == F.col("__r2")), "left")
-    text = replaced(F.col("text"), F.col("__spans"), lambda s: F.when(s["kind"] == "gone", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+    text = replaced(F.col("text"), F.col("__spans"), lambda s: s["by"])
     return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
 
 
