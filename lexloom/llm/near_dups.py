@@ -1,19 +1,23 @@
 """8. MinHash near-duplicates by a multi-index Hamming join.
 
-Equal shingle sets collapse to one class first. A class has a signature of K b-bit minhashes, split into chunks of equal
-length. Two signatures that differ in at most T = 2 * chunks - 1 places have, by the pigeonhole principle, a chunk with at
-most one difference; so each chunk gives a key for every place left out, and all pairs under the distance share a key.
+Equal shingle sets collapse to one class first. A class has a signature of 16-bit minhashes, split into chunks of PLACES
+each. Two signatures that differ in at most 2 * chunks - 1 places have, by the pigeonhole principle, a chunk with at most
+one difference; so each chunk gives a key for every place left out, and all pairs under the distance share a key.
 Keys are followed up in two steps that never list all pairs of a group:
 
 1. in rounds, each class is held against the nearest, by signature, of the least classes of its keys; links that its full
    set confirms join classes into components;
 2. only keys that still hold several components are looked at again: what shares them meets in blocks, on full sets.
 
-At a similarity of 0.85, all chunks of a pair have two or more differences with probability below 1e-5.
+A pair whose similarity is just the threshold has two or more differences in all its chunks with a probability that falls
+with their number; there are as many as bring it to MISS or below: 8 at 0.85 (5.4e-7 a pair), 10 at 0.8 (1.6e-6). Pairs
+that are more alike are missed more rarely still.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,24 +29,41 @@ from lexloom.llm.common import in_batches, stored, table
 from lexloom.llm.components import components
 from lexloom.llm.tokens import slices
 
-K, CHUNKS = 48, 8
-PLACES = K // CHUNKS
-#: Differences between signatures within which the chunks guarantee a shared key.
-T = 2 * CHUNKS - 1
+#: Minhashes of a chunk, and the most that the probability may be to miss a pair just at the threshold.
+PLACES, MISS = 5, 2e-6
 #: Classes on each side that are held against each other at once, and rounds of the first step.
-BLOCK, ROUNDS = 1024, 2
+BLOCK, ROUNDS = 512, 2
+#: Shingles on each side of a block on average.
+BLOCK_SHINGLES = 1 << 20
 #: Bytes of the bitmap that tells which documents are in candidate pairs.
 BITMAP_BYTES = 32 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_RNG = np.random.default_rng(8)
-_A = _RNG.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**63, K, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.zeros(256, np.uint8)
 _LOWER[65:91] = 32
 
 
+def missed(share: float, chunks: int) -> float:
+    """The probability that each chunk of two signatures has two or more differences, at a similarity of share percent."""
+    s = share / 100
+    return (1 - s**PLACES - PLACES * s ** (PLACES - 1) * (1 - s)) ** chunks
+
+
+def chunks_for(share: float) -> int:
+    """The least number of chunks, four or more, that brings missed() to MISS."""
+    chunks = 4
+    while missed(share, chunks) > MISS:
+        chunks += 1
+    return chunks
+
+
+@lru_cache(maxsize=4)
+def _factors(k: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(8)
+    return rng.integers(1, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, k, dtype=np.uint64)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * _M2
     return x ^ (x >> np.uint64(32))
@@ -96,24 +117,25 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray
     return hashes[new], np.append(0, np.cumsum(new))[bounds]
 
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """K 16-bit minhashes for each set that isn't empty, in order."""
+def signatures(hashes: np.ndarray, bounds: np.ndarray, chunks: int) -> np.ndarray:
+    """chunks * PLACES 16-bit minhashes for each set that isn't empty, in order."""
     full = np.flatnonzero(np.diff(bounds))
-    out = np.zeros((len(full), K), np.uint16)
+    a, b = _factors(chunks * PLACES)
+    out = np.zeros((len(full), len(a)), np.uint16)
     if len(full):
         starts = bounds[full]
-        for k in range(K):
-            low = np.minimum.reduceat(hashes * _A[k] + _B[k], starts)
+        for k in range(len(a)):
+            low = np.minimum.reduceat(hashes * a[k] + b[k], starts)
             out[:, k] = (_mixed(low) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
 def signature_keys(sigs: np.ndarray) -> np.ndarray:
-    """K 64-bit keys for each signature: of each chunk with one place left out."""
-    n = len(sigs)
-    out = np.empty((n, K), np.uint64)
-    wide = sigs.astype(np.uint64).reshape(n, CHUNKS, PLACES)
-    for c in range(CHUNKS):
+    """As many 64-bit keys for each signature as it has places: of each chunk with one place left out."""
+    n, k = sigs.shape
+    out = np.empty((n, k), np.uint64)
+    wide = sigs.astype(np.uint64).reshape(n, k // PLACES, PLACES)
+    for c in range(k // PLACES):
         for p in range(PLACES):
             h = np.full(n, (c * PLACES + p + 1) * 0x51_7C_C1B7_2722_0A95 % 2**64, np.uint64)
             for q in range(PLACES):
@@ -123,7 +145,7 @@ def signature_keys(sigs: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketched(docs: DataFrame, size: int = 5) -> DataFrame:
+def sketched(docs: DataFrame, chunks: int, size: int = 5) -> DataFrame:
     """Of docs (doc_id, text): doc_id, n, a, b (halves of a hash of the shingle set), sig (null for an empty set)."""
 
     def sketch(batches):
@@ -136,20 +158,25 @@ def sketched(docs: DataFrame, size: int = 5) -> DataFrame:
                 own = b"".join(xxhash.xxh3_128_digest(raw[8 * x : 8 * y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
                 a, b = np.frombuffer(own, "<i8").reshape(-1, 2).T
                 n = np.diff(bounds)
-                sigs = iter(signatures(hashes, bounds))
+                sigs = iter(signatures(hashes, bounds, chunks))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array([next(sigs).tobytes() if x else None for x in n.tolist()], pa.binary())], names=["doc_id", "n", "a", "b", "sig"])
 
     return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), sketch, "doc_id long, n long, a long, b long, sig binary")
 
 
+def _signatures(column: pa.Array) -> np.ndarray:
+    """Binary signatures, of one length, as rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+
 def keyed(classes: DataFrame) -> DataFrame:
-    """Of classes (id, sig): (key, id), K rows for each."""
+    """Of classes (id, sig): (key, id), a row for each place of the signature."""
 
     def keys(batches):
         for batch in batches:
             if batch.num_rows:
-                sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, K)
-                ids = np.repeat(batch.column("id").to_numpy(), K)
+                sigs = _signatures(batch.column("sig"))
+                ids = np.repeat(batch.column("id").to_numpy(), sigs.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(signature_keys(sigs).ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
 
     return in_batches(classes.select("id", "sig"), keys, "key long, id long")
@@ -178,18 +205,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return in_batches(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y"), links, "u long, v long")
 
 
-def linked_in_blocks(members: DataFrame, sets: DataFrame, share: int, block: int = BLOCK) -> DataFrame:
-    """Of members (part, comp, id), all links (u, v) between different components of one part that matter: for each row,
+def linked_in_blocks(members: DataFrame, sets: DataFrame, share: int, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Of members (part, comp, id, n), all links (u, v) between different components of one part that matter: for each row,
     one to each component that it links with.
 
     The largest component of a part is its core; all others are held against all rows. Both sides are dealt into blocks,
     and two blocks meet in one task, which counts the shared shingles of all their pairs; it returns links, not pairs. So
-    a part of any size takes bounded memory, and rows of the core are never held against each other.
+    a part of any size takes bounded memory, and rows of the core are never held against each other. Blocks have so many
+    rows and so many shingles a side, on average; a text with more shingles than that has a block's memory by itself.
     """
-    sizes = members.groupBy("part", "comp").agg(F.count(F.lit(1)).alias("n"))
-    parts = sizes.groupBy("part").agg(F.max(F.struct("n", "comp"))["comp"].alias("core"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others"))
-    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
-    parts = stored(parts.select(F.col("part").alias("p"), "core", blocks("n").alias("rows"), blocks("others").alias("columns")), "parts")
+    sizes = members.groupBy("part", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("size"))
+    core = F.max(F.struct("n", "comp", "size"))
+    parts = sizes.groupBy("part").agg(core.alias("c"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / shingles)).cast("int")
+    parts = parts.select(F.col("part").alias("p"), F.col("c.comp").alias("core"), blocks(F.col("n"), F.col("size")).alias("rows"), blocks(F.col("n") - F.col("c.n"), F.col("size") - F.col("c.size")).alias("columns"))
+    parts = stored(parts, "parts")
     dealt = members.join(parts, F.col("part") == F.col("p"))
     numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     every = dealt.select("part", F.pmod(F.xxhash64("id"), F.col("rows")).cast("int").alias("i"), numbers("columns").alias("j"), F.lit(False).alias("other"), "comp", "id")
@@ -239,16 +269,17 @@ def linked_in_blocks(members: DataFrame, sets: DataFrame, share: int, block: int
 
 
 def nearest(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    """For each v of pairs (u, v), the pair whose signatures differ least, if in at most T places."""
+    """For each v of pairs (u, v), the pair whose signatures differ least, if in fewer than twice as many places as there are
+    chunks: those are the differences within which the chunks guarantee a shared key."""
     x = sig.select(F.col("id").alias("u"), F.col("sig").alias("x"))
     y = sig.select(F.col("id").alias("v"), F.col("sig").alias("y"))
 
     def close(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, K) for c in ("x", "y"))
+                x, y = (_signatures(batch.column(c)) for c in ("x", "y"))
                 far = (x != y).sum(axis=1).astype(np.int32)
-                keep = pa.array(far <= T)
+                keep = pa.array(far < 2 * (x.shape[1] // PLACES))
                 yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep), pa.array(far).filter(keep)], names=["u", "v", "far"])
 
     found = in_batches(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y"), close, "u long, v long, far int")
@@ -259,10 +290,11 @@ def near_duplicates(docs: DataFrame, share: int = 85, size: int = 5, block: int
     """Of docs (doc_id, text): doc_id, n_shingles, component_id, kept, a row for each row.
 
     Texts without words link with nothing. Rows with a null id link with nothing, and are kept; rows that share an id are
-    one document. Equal sets link whatever their size.
+    one document. Equal sets link whatever their size. An empty table gives none. A text of any length is taken whole; its
+    shingles must fit a worker's memory.
     """
     spark = docs.sparkSession
-    rows = stored(sketched(docs, size), "sketches")
+    rows = stored(sketched(docs, chunks_for(share), size), "sketches")
     full = rows.where("n > 0 and doc_id is not null")
     classes = stored(full.groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     keys = stored(keyed(classes), "keys")
@@ -313,6 +345,7 @@ def near_duplicates(docs: DataFrame, share: int = 85, size: int = 5, block: int
     rest = stored(labelled.join(ends, F.col("key") == F.col("k")).select("id", "comp", "least").distinct(), "rest")
     parts = stored(components(rest.select(F.col("least").alias("u"), F.col("comp").alias("v"))), "parts-of")
     members = rest.select("id", "comp").distinct().join(parts, F.col("comp") == F.col("node"), "left").select(F.coalesce("component", "comp").alias("part"), "comp", "id")
+    members = members.join(sig.select("id", "n"), "id").select("part", "comp", "id", "n")
     links = links.union(stored(linked_in_blocks(stored(members, "members"), found, share, block), "block-links"))
     part_of = stored(components(links), "components")
 
