@@ -36,7 +36,7 @@ def written(spark, tmp_path, name, df):
 
 
 LONG = " ".join(f"w{i % 977}" for i in range(20_000))
-ROWS = [(1, "One two three four five six.\nSame line here now.\n\nTail", "b"), (2, "Same line here now.\nOther", "b"), (2, "Same line here now.\nOther", "b"), (3, None, None), (4, "", "a"), (None, "Same line here now.", "a"), (5, LONG, "c"), (6, " \t\n", "c")]
+ROWS = [(1, "One two three four five six.\nSame line here now.\n\nTail", "b"), (2, "Same line here now.\nOther", "b"), (2, "Same line here now.\nOther", "b"), (3, None, None), (4, "", "a"), (7, "Ends <|endoftext|> and <|StartOfText|><|startoftext|>!", "a"), (None, "Same line here now.", "a"), (5, LONG, "c"), (6, " \t\n", "c")]
 
 
 @pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n != "op2_neighbours"))
@@ -153,22 +153,25 @@ def test_shards_give_every_range_back(tmp_path):
 
 def test_ids_are_those_of_the_library():
     random.seed(2)
-    enc = tokens.Encoder(tokens.default_path())
-    parts = ["a", "B", "'", "s", "T", " ", "\n", "é", "é", "́", "̸", "=", ".", "9", "²", " ", "ß", "İ", "Σ", "한", "ᄒ", "ᅡ", "😀", "J", "̌", "_", "-", "the", "<|endoftext|>", "ñ", "Ñ"]
+    from tokenizers import Tokenizer
+
+    enc, plain = tokens.Encoder(tokens.default_path()), Tokenizer.from_file(tokens.default_path())
+    parts = ["a", "B", "'", "s", "T", " ", "\n", "é", "é", "́", "̸", "=", ".", "9", "²", " ", "ß", "İ", "Σ", "한", "ᄒ", "ᅡ", "😀", "J", "̌", "_", "-", "the", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "ñ", "Ñ"]
     texts = ["".join(random.choice(parts) for _ in range(random.randrange(25))) for _ in range(5000)] + [None, "", " "]
     ids, places = enc.encode(pa.array(texts, pa.string()))
-    want = enc.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    want = plain.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert any(49406 in x.ids for x in want) and any(49407 in x.ids for x in want)
     assert [ids[a:b].tolist() for a, b in zip(places[:-1], places[1:])] == [x.ids + [1] for x in want]
 
 
 def test_token_files_and_pieces_of_odd_texts(spark):
     df = docs(spark, *ROWS)
-    enc = tokens.Encoder(tokens.default_path()).tokenizer
+    enc = __import__("tokenizers").Tokenizer.from_file(tokens.default_path())
     want = {i: [*enc.encode(t or "", add_special_tokens=False).ids, 1] for i, t, _ in ROWS}
     folder = fresh_path(spark, "t")
     got = token_files.read_token_files(token_files.write_token_files(df, folder, tokens.default_path(), block=1024), folder).orderBy("start").collect()
     at = 0
-    assert [r["doc_id"] for r in got] == [None, 1, 2, 2, 3, 4, 5, 6]
+    assert [r["doc_id"] for r in got] == [None, 1, 2, 2, 3, 4, 5, 6, 7]
     for r in got:
         ids = want[r["doc_id"]]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -222,11 +225,6 @@ def test_repeated_words_count_each_place_once(spark):
     assert {r["t"]: r["n"] for r in rows.collect()} == cases
 
 
-def test_copies_of_a_document_give_no_evidence(spark):
-    rows = [(i, "one copied document with a line of more than ten words in it", "h") for i in range(50)]
-    assert quality.judged(docs(spark, *rows), least_docs=5, least_share=0.1).where("not kept").count() == 0
-
-
 # --- 5, 9 -------------------------------------------------------------------------------------------------------------------
 def luhn(x):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(x))) % 10 == 0
@@ -267,19 +265,6 @@ def test_base_spans_are_those_of_the_patterns(spark, operator, parts, base):
         assert set(want) <= {(s["start"], s["rank"], s["end"], s["kind"]) for s in rows[i]["all"]}
 
 
-def test_terms_that_disclose_a_value_are_marked(spark):
-    random.seed(1)
-    filler = lambda: " ".join(random.choice(["common", "words", "everyone", "uses", "often", "here"]) for _ in range(12))
-    rows = [(i, f"{filler()} mail quixotl at ann@example.com for {filler()}") for i in range(4)]
-    rows += [(10 + i, f"{filler()} mail bob{i}@example.com {filler()}") for i in range(30)] + [(50, "quiet words")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r["doc_id"]: [(rows[j][1][s["start"] : s["end"]], s["kind"]) for s in r["all"]] for j, r in enumerate(sorted(pii.detected(df).collect(), key=lambda r: r["doc_id"]))}
-    assert found[0] == [("quixotl", "gone"), ("ann@example.com", "email")] and found[50] == []
-    assert ("mail", "term") not in found[12] and len(found[12]) == 1
-    texts = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
-    assert "[EMAIL]" in texts[0] and "quixotl" not in texts[0] and texts[50] == "quiet words"
-
-
 def test_random_tokens_are_told_from_others(spark):
     random.seed(12)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -346,8 +331,8 @@ def reachable(rows, share):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_near_duplicates_against_all_pairs(spark, block):
+@pytest.mark.parametrize("block,share", [(512, 85), (3, 85), (512, 80), (3, 80)])
+def test_near_duplicates_against_all_pairs(spark, block, share):
     random.seed(8)
     vocabulary = [f"w{i}" for i in range(400)]
     rows = []
@@ -359,8 +344,8 @@ def test_near_duplicates_against_all_pairs(spark, block):
                 own[random.randrange(len(own))] = random.choice(vocabulary)
             rows.append((len(rows) * 3 % 101 + 200 * (len(rows) // 101), " ".join(own).upper() if random.random() < 0.2 else " ".join(own)))
     rows += [(9001, "hi there"), (9002, "Hi  THERE"), (9003, ""), (9004, None), (9005, "hi"), (9006, "É x"), (9007, "é x")]
-    got = {r["doc_id"]: r for r in near_dups.near_duplicates(docs(spark, *[(i, t, "s") for i, t in rows]), block=block).collect()}
-    want = reachable(rows, 85)
+    got = {r["doc_id"]: r for r in near_dups.near_duplicates(docs(spark, *[(i, t, "s") for i, t in rows]), share, block=block).collect()}
+    want = reachable(rows, share)
     for i, t in rows:
         assert got[i]["n_shingles"] == len(shingles(t))
         assert (got[i]["component_id"], got[i]["kept"]) == (want[i], want[i] == i), (i, t)
