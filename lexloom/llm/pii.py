@@ -68,7 +68,7 @@ def entities(kind: str, match: Column) -> Column:
 
 def found(docs: DataFrame) -> DataFrame:
     """Of docs (doc_id, text): doc_id, r1, r2, content, the spans of each kind, ents (entities, as struct<e,kind>), terms
-    (hashes of the different ones), and words (places of all terms) where there are entities."""
+    (hashes of the different ones), and the text where there are entities."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys("doc_id", "text"), F.xxhash64("text").alias("content"), text.alias("text"), F.struct(*[c.alias(k) for k, c in base_spans(text).items()]).alias("s"))
 
@@ -79,9 +79,8 @@ def found(docs: DataFrame) -> DataFrame:
     each = [protected(k, i) for i, k in enumerate(KINDS)]
     base = base.withColumn("ents", F.array_distinct(F.concat(*each)))
     terms = F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))), lambda t: F.xxhash64(t))
-    words = F.transform(code_spans(F.col("text"), TERM), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.xxhash64(F.lower(w["match"])).alias("t")))
-    words = F.when(F.size("ents") > 0, words).otherwise(F.array().cast("array<struct<start:int,end:int,t:bigint>>"))
-    return base.select("doc_id", "r1", "r2", "content", "s.*", "ents", terms.alias("terms"), words.alias("words"))
+    held = F.when(F.size("ents") > 0, F.col("text"))
+    return base.select("doc_id", "r1", "r2", "content", "s.*", "ents", terms.alias("terms"), held.alias("text"))
 
 
 def _places(rows: DataFrame, by: str) -> DataFrame:
@@ -99,27 +98,25 @@ def disclosing(rows: DataFrame, least: float = GENERALISE, prior: float = PRIOR)
     texts with an entity of which it could disclose enough, as joint is n_entity at most.
     """
     n = float(rows.select("content").distinct().count())
-    held = stored(rows.where(F.size("ents") > 0).groupBy("content").agg(F.first("ents").alias("ents"), F.first("terms").alias("terms")), "held")
-    if held.isEmpty():
-        return held.select("content", F.lit(None).cast("long").alias("t"), F.lit(None).cast("double").alias("share"), F.lit(None).cast("int").alias("kind"))
-    ents = held.select("content", F.explode("ents").alias("x")).select("content", "x.e", "x.kind")
+    held = rows.where(F.size("ents") > 0).groupBy("content").agg(F.first("ents").alias("ents"), F.first("terms").alias("terms"))
+    ents = stored(held.select("content", F.explode("ents").alias("x")).select("content", "x.e", "x.kind"), "entities")
+    if ents.isEmpty():
+        return ents.select("content", F.lit(None).cast("long").alias("t"), F.lit(None).cast("double").alias("share"), F.lit(None).cast("int").alias("kind"))
     each = _places(ents.select("content", "e"), "e").where(F.col("n") < n).select("e", F.col("n").alias("n_entity"), F.xxhash64("n", "s1", "s2").alias("ec"))
     ents = stored(ents.join(each, "e").groupBy("content", "ec").agg(F.first("n_entity").alias("n_entity"), F.min("kind").alias("kind")), "entity-classes")
-    most = (1 + 1e-9) * F.pow(F.max("n_entity").cast("double"), F.lit(least)) * n ** (1 - least)
-    bounds = ents.groupBy("content").agg(most.alias("most"))
-    texts = rows.groupBy("content").agg(F.first("terms").alias("terms"))
-    n_term = texts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_term"))
+    most = lambda c: (1 + 1e-9) * F.pow(c.cast("double"), F.lit(least)) * n ** (1 - least)
+    bounds = ents.groupBy("content").agg(most(F.max("n_entity")).alias("most"))
+    n_term = rows.select("content", F.explode("terms").alias("t")).distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n_term"))
     terms = held.select("content", F.explode("terms").alias("t"))
-    own = _places(terms, "t").join(n_term, "t").where(F.col("n_term") + prior <= n**(1 - least) * F.pow(F.col("n").cast("double"), F.lit(least)) * (1 + 1e-9))
+    own = _places(terms, "t").join(n_term, "t").where(F.col("n_term") + prior <= most(F.col("n")))
     terms = terms.join(own.select("t", "n_term", F.xxhash64("n_term", "s1", "s2").alias("tc")), "t").join(bounds, "content").where(F.col("n_term") + prior <= F.col("most"))
     terms = stored(terms.select("content", "t", "tc", "n_term"), "term-classes")
-    pairs = ents.join(terms.select("content", "tc", "n_term").distinct(), "content").groupBy("ec", "tc", "n_entity", "n_term", "kind").agg(F.count(F.lit(1)).alias("joint"))
-    pairs = pairs.groupBy("ec", "tc", "n_entity", "n_term").agg(F.sum("joint").alias("joint"), F.min("kind").alias("kind"))
-    hidden = F.log(n / F.col("n_entity"))
-    share = F.round(F.log(F.col("joint") / (F.col("n_term") + prior) * n / F.col("n_entity")) / hidden, 9)
-    pairs = pairs.withColumn("share", share).where(F.col("share") >= least).select("ec", "tc", "share", F.col("kind").alias("reveals"))
-    best = ents.join(pairs, "ec").groupBy("content", "tc").agg(F.max("share").alias("share"), F.min("reveals").alias("kind"))
-    return terms.join(best, ["content", "tc"]).select("content", "t", "share", "kind")
+    met = stored(ents.join(terms.select("content", "tc", "n_term").distinct(), "content"), "met")
+    pairs = met.groupBy("ec", "tc", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("joint"))
+    share = F.round(F.log(F.col("joint") / (F.col("n_term") + prior) * n / F.col("n_entity")) / F.log(n / F.col("n_entity")), 9)
+    pairs = pairs.withColumn("share", share).where(F.col("share") >= least).select("ec", "tc", "share")
+    best = met.select("content", "ec", "tc", "kind").join(pairs, ["ec", "tc"]).groupBy("content", "tc").agg(F.max("share").alias("share"), F.min("kind").alias("kind"))
+    return terms.select("content", "t", "tc").join(best, ["content", "tc"]).select("content", "t", "share", "kind")
 
 
 def detected(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, prior: float = PRIOR) -> DataFrame:
@@ -132,14 +129,16 @@ def detected(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     """
     rows = stored(found(docs), "found")
     terms = stored(disclosing(rows, generalise, prior), "disclosing").select(F.col("content").alias("c"), F.col("t").alias("dt"), "share", F.col("kind").alias("reveals"))
-    words = rows.where(F.size("ents") > 0).groupBy("content").agg(F.first("words").alias("words"))
-    places = words.select("content", F.explode("words").alias("w")).join(terms, (F.col("content") == F.col("c")) & (F.col("w.t") == F.col("dt")))
+    words = rows.where(F.col("text").isNotNull()).groupBy("content").agg(F.first("text").alias("text"))
+    words = words.select("content", F.explode(code_spans(F.col("text"), TERM)).alias("w")).withColumn("wt", F.xxhash64(F.lower("w.match")))
+    places = words.join(terms, (F.col("content") == F.col("c")) & (F.col("wt") == F.col("dt")))
     gone = F.col("share") >= remove
     names = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("reveals") + 1)
     span = F.struct(F.col("w.start").alias("start"), F.when(gone, 5).otherwise(4).alias("rank"), F.col("w.end").alias("end"), F.when(gone, "gone").otherwise("term").alias("kind"), names.alias("reveals"))
-    added = places.groupBy("c").agg(F.sort_array(F.collect_list(span)).alias("terms"))
+    # Stored, so that in the join both sides are plain shuffles, of which Spark can split those of a text with many copies.
+    added = stored(places.groupBy("c").agg(F.sort_array(F.collect_list(span)).alias("terms")), "added")
     base = F.sort_array(F.concat(*[kinded(F.col(k), k, i) for i, k in enumerate(KINDS)]))
-    out = rows.drop("terms", "words").withColumn("base", base).join(added, F.col("content") == F.col("c"), "left")
+    out = rows.drop("terms", "text").withColumn("base", base).join(added, F.col("content") == F.col("c"), "left")
     free = F.filter("terms", lambda t: ~overlaps(F.col("base"), t["start"], t["end"]))
     out = out.withColumn("terms", F.when(F.col("terms").isNotNull(), free).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,reveals:string>>")))
     every = F.sort_array(F.concat("base", F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end"), t["kind"].alias("kind")))))
