@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.scores import cosine
+from lexloom.sources.shared import discard, stored
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage: written to the folder that the cluster shares, and read again from there.
-
-    checkpoint() needs a folder set on the context; where the session names one, it is set, else a local one is made.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(f"{root.rstrip('/')}/{uuid.uuid4().hex}" if root else "file://" + tempfile.mkdtemp(prefix="lexloom-"))
-    return df.checkpoint()
+    """df cut off from its lineage: written to the folder that the cluster shares, and read again from there."""
+    return stored(df, "kept")
 
 
 def similarity_edges(members: DataFrame, least: float = 0.1, digits: int = 6, rows: int = 1024) -> DataFrame:
@@ -76,7 +66,8 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFram
     labels = nodes.select("id", F.col("id").alias("community"))
     for _ in range(rounds):
         votes = both.join(labels, F.col("b") == F.col("id")).groupBy("a", "community").agg(F.count(F.lit(1)).alias("n"))
-        labels = kept(votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "community"))["community"].alias("community")).withColumnRenamed("a", "id"))
+        before, labels = labels, kept(votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "community"))["community"].alias("community")).withColumnRenamed("a", "id"))
+        discard(before)
     return labels
 
 
