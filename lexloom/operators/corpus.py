@@ -36,9 +36,12 @@ def default_mentions(sents: DataFrame, least: int = 6) -> DataFrame:
 
 
 def chained(mentions: DataFrame) -> DataFrame:
-    """Mentions of a document that share a head, two or more of them, with chain_id by head."""
+    """Mentions of a document that share a head, two or more of them, with chain_id by head.
+
+    A document's mentions are dealt to one task once, and sorted there once for both windows.
+    """
     same = Window.partitionBy("doc_id", "head")
-    kept = mentions.withColumn("n_mentions", F.count(F.lit(1)).over(same)).where("n_mentions >= 2")
+    kept = mentions.repartition("doc_id").withColumn("n_mentions", F.count(F.lit(1)).over(same)).where("n_mentions >= 2")
     return kept.withColumn("chain_id", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("head")))
 
 

@@ -9,6 +9,7 @@ from lexloom.functions import text as T
 from lexloom.operators import cooc, coref, corpus, grams, intervals, spans
 from lexloom.plans.text_queries import _PK, _PRON, _W
 from lexloom.plans.views import mentions, sentences, table, wide, with_
+from lexloom.sources.shared import stored
 
 C = F.col
 CHAIN = ["doc_id", "chain_id", "head"]
@@ -16,27 +17,36 @@ CHAIN = ["doc_id", "chain_id", "head"]
 
 def mention_grams() -> Column:
     """The tokens of a mention joined, its head, and the character 4-grams of its text."""
-    return F.concat(F.array(F.concat_ws(T.GRAM_JOIN, "prev", "head"), C("head")), T._windows(C("text"), 4))
+    return F.concat(F.array(F.concat_ws(T.GRAM_JOIN, "prev", "head"), C("head")), T.character_runs(C("text"), 4))
 
 
 def index(spark, sf) -> tuple[DataFrame, DataFrame]:
-    m = mentions(spark, sf)
-    return grams.counted(m, mention_grams(), CHAIN), m.groupBy(*CHAIN).agg(F.count(F.lit(1)).alias("n_mentions"))
+    """The gram index and the chains, of mentions that are made once and stored."""
+    return indexed(stored(mentions(spark, sf), "mentions"))
 
 
-def probes(spark, sf, n: int = 1) -> DataFrame:
+def indexed(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return stored(grams.counted(m, mention_grams(), CHAIN), "grams"), m.groupBy(*CHAIN).agg(F.count(F.lit(1)).alias("n_mentions"))
+
+
+def probes(m: DataFrame, n: int = 1) -> DataFrame:
     """The mentions that most documents hold: (query_id, prev, head, text)."""
-    found = mentions(spark, sf).groupBy("text", "prev", "head").agg(F.count_distinct("doc_id").alias("docs"))
+    found = m.groupBy("text", "prev", "head").agg(F.count_distinct("doc_id").alias("docs"))
     return grams.top(found, [F.desc("docs"), C("text")], n, rank="query_id").select("query_id", "prev", "head", "text")
 
 
 def phrase_scores(spark, sf, n: int = 1) -> DataFrame:
     """(query_id, doc_id, chain_id, head, score) of all chains that share a gram with a probe."""
-    idx, chains = index(spark, sf)
+    m = stored(mentions(spark, sf), "mentions")
+    return scored_phrases(probes(m, n), *indexed(m))
+
+
+def scored_phrases(asked: DataFrame, idx: DataFrame, chains: DataFrame) -> DataFrame:
+    """phrase_scores() of phrases (query_id, prev, head, text), from a stored index."""
     idf = grams.global_idf(idx, chains)
-    q = probes(spark, sf, n).select("query_id", F.explode(F.array_distinct(mention_grams())).alias("gram"))
+    q = asked.select("query_id", F.explode(F.array_distinct(mention_grams())).alias("gram"))
     weigh = lambda rows: grams.weighted(rows, idf, 1.0, ["gram"])
-    return grams.jaccard_shortlist(weigh(q), idx, CHAIN, weigh)
+    return grams.jaccard_shortlist(weigh(stored(q, "asked")), idx, CHAIN, weigh)
 
 
 def flagship(spark, sf) -> DataFrame:
@@ -57,17 +67,28 @@ def _local(spark, sf) -> DataFrame:
     return wide(grams.pruned(grams.jaccard_shortlist(tag(q, "query_id"), tag(w, "doc_id"), CHAIN), 0.18, strict=True).select("doc_id", "chain_id", "score"))
 
 
+def _postings(spark, sf) -> DataFrame:
+    m = stored(mentions(spark, sf), "mentions")
+    hits = indexed(m)[0].join(probes(m).select(F.explode(F.array_distinct(mention_grams())).alias("gram")), "gram")
+    return wide(hits.groupBy("gram").agg(F.count(F.lit(1)).alias("chains"), F.sum("cnt").alias("mentions")))
+
+
 def edges(spark, sf) -> DataFrame:
     return cooc.ppmi_edges(corpus.document_tokens(table(spark, sf, "documents")))
 
 
-def lexicon(spark, sf) -> DataFrame:
-    return mentions(spark, sf).select("doc_id", "chain_id", F.explode(F.array("prev", "head")).alias("token")).distinct()
+def lexicon(m: DataFrame) -> DataFrame:
+    return m.select("doc_id", "chain_id", F.explode(F.array("prev", "head")).alias("token")).distinct()
+
+
+def chain_vectors(spark, sf) -> DataFrame:
+    """(doc_id, chain_id, col_tok, v)."""
+    return cooc.vectors(lexicon(mentions(spark, sf)), edges(spark, sf), ["doc_id", "chain_id"])
 
 
 def chain_cosines(spark, sf) -> DataFrame:
     # As decimals, so that the order in which products are added doesn't show.
-    v = cooc.vectors(lexicon(spark, sf), edges(spark, sf), ["doc_id", "chain_id"]).withColumn("v", F.round("v", 6).cast("decimal(9,6)"))
+    v = stored(chain_vectors(spark, sf).withColumn("v", F.round("v", 6).cast("decimal(9,6)")), "chain-vectors")
     first = v.where("chain_id = 1").select("doc_id", "col_tok", "v")
     return cooc.sparse_cosine(first, v.where("chain_id > 1"), ["doc_id"], ["doc_id", "chain_id"]).withColumn("score", C("score").cast("double"))
 
@@ -122,9 +143,10 @@ QUERIES = {
     "f06_global_query": lambda spark, sf: wide(grams.top(grams.pruned(phrase_scores(spark, sf, 3), 0.18, strict=True), [F.desc("score"), C("doc_id"), C("head")], 10, ["query_id"]).select("query_id", "doc_id", "head", "score", "rank")),
     "e14_phrases_and": lambda spark, sf: wide(grams.by_phrases(phrase_scores(spark, sf, 2), CHAIN, 2, True).select("doc_id", "head", "score")),
     "e14_phrases_or": lambda spark, sf: wide(grams.by_phrases(phrase_scores(spark, sf, 2), CHAIN, 2, False).select("doc_id", "head", "score")),
-    "d11_postings": lambda spark, sf: wide(index(spark, sf)[0].join(probes(spark, sf).select(F.explode(F.array_distinct(mention_grams())).alias("gram")), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("chains"), F.sum("cnt").alias("mentions"))),
+    "d11_postings": _postings,
     "e04_ppmi": lambda spark, sf: wide(edges(spark, sf)),
     "e04_norms": lambda spark, sf: wide(cooc.row_norms(edges(spark, sf), 4)),
+    "e05_chain_vectors": lambda spark, sf: wide(chain_vectors(spark, sf).select("doc_id", "chain_id", "col_tok", F.round("v", 6).alias("v"))),
     "e06_chain_cosine": lambda spark, sf: wide(chain_cosines(spark, sf).select("doc_id", "chain_id", "score")),
     "f05_fusion": _fusion,
     "e17_hits_by_document": lambda spark, sf: wide(phrase_scores(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))),
@@ -144,7 +166,7 @@ QUERIES = {
     "e08_chain_statistics": lambda spark, sf: wide((lambda m: coref.statistics(m, coref.antecedents(m, ["doc_id"]), ["doc_id"]))(_first_words(spark, sf)).select("doc_id", "mentions", "sentences", "name", F.coalesce(F.element_at("tags", F.lit("OTHER")), F.lit(0)).alias("other"))),
     "e10_keyphrase_clusters": lambda spark, sf: wide(coref.keyphrase_clusters(mentions(spark, sf).select("doc_id", "chain_id", "text", "sentence_id"), ["doc_id", "chain_id"]).select("doc_id", "chain_id", F.size("mentions").alias("n"), F.size("sentences").alias("sents"), F.element_at("mentions", 1).alias("first"))),
     "g09_clusters_by_mention": lambda spark, sf: wide(coref.clusters_by_mention(mentions(spark, sf)).select("doc_id", "chain_id", F.array_join(C("members").cast("array<string>"), ",").alias("members"))),
-    "g10_clusters_by_seed": lambda spark, sf: wide(coref.clusters_by_seed(sentences(spark, sf).select("doc_id", "sentence_id").join(mentions(spark, sf).select("doc_id", "sentence_id", "chain_id").distinct(), ["doc_id", "sentence_id"], "left"))),
+    "g10_clusters_by_seed": lambda spark, sf: wide(coref.clusters_by_seed(sentences(spark, sf).select("doc_id", "sentence_id").join(mentions(spark, sf).select("doc_id", "sentence_id", "chain_id").distinct(), ["doc_id", "sentence_id"], "left")).select("doc_id", "cluster_id", F.array_join(C("members").cast("array<string>"), ",").alias("members"))),
     "d10_touching": lambda spark, sf: wide(coref.touching(mentions(spark, sf), 499, 0)),
     "b17_pronouns_resolved": _resolved,
     "a21_index_sizes": lambda spark, sf: wide(__import__("lexloom.sources.tables", fromlist=["index_sizes"]).index_sizes(index(spark, sf)[0], 20)),
@@ -203,6 +225,7 @@ ORACLE = {
     "d11_postings": with_(*_G, _IDF, _probe(1)) + "SELECT gram, count(*) AS chains, sum(cnt)::BIGINT AS mentions FROM g JOIN q USING (gram) GROUP BY gram",
     "e04_ppmi": with_(_COOC) + "SELECT * FROM ed",
     "e04_norms": with_(_COOC) + "SELECT doc_id, row_tok, round(sqrt(sum(ppmi * ppmi)), 4) AS norm FROM ed GROUP BY ALL",
+    "e05_chain_vectors": with_("s", "t", "m", _COOC, _COS) + "SELECT doc_id, chain_id, col_tok, v::DOUBLE AS v FROM v",
     "e06_chain_cosine": with_("s", "t", "m", _COOC, _COS) + "SELECT doc_id, chain_id, score FROM cs",
     "f05_fusion": with_(*_G, _LIDF, "ld AS (SELECT DISTINCT doc_id, 1 AS chain_id FROM ch)", _LSC, _COOC, _COS)
     + """, fu AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.chain_id, b.chain_id) AS chain_id, round(0.6 * coalesce(a.score, 0.0) + 0.4 * coalesce(b.score, 0.0), 6) AS score,
@@ -224,6 +247,10 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score D
     "e08_chain_statistics": with_("s", _ANTE) + "SELECT fw.doc_id, count(*) AS mentions, count(DISTINCT sentence_id) AS sentences, (array_agg(text ORDER BY length(text) DESC, text))[1][1:40] AS name, coalesce(any_value(o.n), 0) AS other FROM fw LEFT JOIN (SELECT doc_id, count(*) AS n FROM an WHERE tag = 'OTHER' GROUP BY doc_id) o USING (doc_id) GROUP BY fw.doc_id",
     "e10_keyphrase_clusters": with_("s", "t", "m") + r"SELECT doc_id, chain_id, count(DISTINCT text) AS n, count(DISTINCT sentence_id) AS sents, min(text) AS first FROM m WHERE regexp_matches(text, '\p{L}') GROUP BY doc_id, chain_id HAVING count(DISTINCT sentence_id) >= 2",
     "g09_clusters_by_mention": with_("s", "t", "m") + "SELECT doc_id, chain_id, string_agg(DISTINCT sentence_id::VARCHAR, ',' ORDER BY sentence_id) AS members FROM (SELECT DISTINCT doc_id, chain_id, sentence_id FROM m) GROUP BY doc_id, chain_id".replace("string_agg(DISTINCT sentence_id::VARCHAR", "string_agg(sentence_id::VARCHAR"),
+    "g10_clusters_by_seed": with_("s", "t", "m").replace("WITH ", "WITH RECURSIVE ", 1) + """, sc AS (SELECT s.doc_id, s.sentence_id, coalesce(list(DISTINCT chain_id) FILTER (WHERE chain_id IS NOT NULL), []) AS c FROM s LEFT JOIN m ON m.doc_id = s.doc_id AND m.sentence_id = s.sentence_id GROUP BY ALL),
+  dm AS (SELECT doc_id, list(sentence_id ORDER BY sentence_id) AS ids, map_from_entries(list((sentence_id, c))) AS held FROM sc GROUP BY doc_id),
+  st(doc_id, held, rest, k, members) AS (SELECT doc_id, held, ids, -1, [-1::BIGINT] FROM dm UNION ALL SELECT doc_id, held, list_filter(rest, lambda x: NOT list_contains(g, x)), k + 1, g FROM (SELECT *, list_filter(rest, lambda x: x = rest[1] OR list_has_any(held[x], held[rest[1]])) AS g FROM st WHERE len(rest) > 0))
+SELECT doc_id, k::BIGINT AS cluster_id, array_to_string(members, ',') AS members FROM st WHERE k >= 0""",
     "d10_touching": with_("s", "t", "m") + "SELECT doc_id, chain_id, sentence_id, count(*) AS n FROM m WHERE doc_id = 499 AND chain_id IN (SELECT chain_id FROM m WHERE doc_id = 499 AND sentence_id = 0) GROUP BY ALL",
     "b17_pronouns_resolved": with_("s", _W, f"lw AS (SELECT doc_id, max(length(word)) AS n FROM w GROUP BY doc_id), pw AS (SELECT w.doc_id, sentence_id, sum(n - length(word)) AS more FROM w JOIN lw USING (doc_id) WHERE {_PK.format('word')} IN ({_PRON}) GROUP BY ALL)") + "SELECT doc_id, sentence_id, (length(text) + coalesce(more, 0))::BIGINT AS n FROM s LEFT JOIN pw USING (doc_id, sentence_id)",
     "a21_index_sizes": with_(*_G) + "SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id ORDER BY size DESC, doc_id LIMIT 20",
