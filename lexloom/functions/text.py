@@ -166,7 +166,7 @@ def heads(text: Column) -> Column:
     return let(tokens(text), lambda t: F.slice(t, F.greatest(F.size(t), F.lit(1)), F.lit(1)))
 
 
-def _windows(text: Column, n: int) -> Column:
+def character_runs(text: Column, n: int) -> Column:
     """Each run of n characters; of single characters first, as a place within a long text is found by counting from its
     beginning."""
     runs = lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))).otherwise(F.array().cast("array<string>"))
@@ -176,13 +176,13 @@ def _windows(text: Column, n: int) -> Column:
 def char_grams(text: Column, n: int = 4) -> Column:
     """Of the lower-case text with single spaces and without punctuation, each run of n characters."""
     clean = F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\r\f]+", " ")), r"[^\p{L}\p{N}_ ]+", "")
-    return _windows(clean, n)
+    return character_runs(clean, n)
 
 
 def plain_char_grams(text: Column, n: int = 4) -> Column:
     """B10, the variant that keeps punctuation."""
     clean = F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\r\f]+", " "))
-    return _windows(clean, n)
+    return character_runs(clean, n)
 
 
 def token_grams(words: Column, n: int) -> Column:

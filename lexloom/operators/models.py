@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.functions.scores import cosine
+from lexloom.operators import vectors
 
 Encode = Callable[[list[str]], np.ndarray]
 
@@ -23,6 +23,8 @@ class Options:
     max_sentences: int | None = None
     max_span_len: int = 4
     top_k_spans: int = 8
+    max_phrase_len: int = 5
+    top_k_phrases: int = 5
     char_n: int = 4
     token_ns: tuple[int, ...] = (2, 3)
     tau: float = 0.18
@@ -72,10 +74,10 @@ def looked_up(rows: DataFrame, vectors: DataFrame, keys: list[str]) -> tuple[Dat
 def nearest_label(rows: DataFrame, labels: DataFrame, least: float = 0.6, digits: int = 6) -> DataFrame:
     """(id, label, score): of labels (code, vector), a list given by the caller, that nearest to each row (id, vector);
     null below `least`. Equal ones go by code."""
-    # The labels are a stated set, such as the goals of a catalogue.
-    pairs = rows.join(F.broadcast(labels.select("code", F.col("vector").alias("lv")))).withColumn("score", F.round(cosine(F.col("vector"), F.col("lv")), digits))
-    best = pairs.where("score is not null").groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "code")).alias("b"))
-    return best.select("id", F.when(-F.col("b.s") >= least, F.col("b.code")).alias("label"), (-F.col("b.s")).alias("score"))
+    named = labels.select(F.col("code").alias("id"), "vector")
+    best = vectors.blocks(rows.select(F.col("id").alias("query_id"), "vector"), named, 1, own=True, digits=digits)
+    best = best.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b"))
+    return best.select(F.col("query_id").alias("id"), F.when(-F.col("b.s") >= least, F.col("b.id")).alias("label"), (-F.col("b.s")).alias("score"))
 
 
 def argmax_label(scores: Column) -> Column:
