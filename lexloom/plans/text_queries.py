@@ -158,15 +158,15 @@ QUERIES = {
     "a05_inverted_index": lambda spark, sf: wide(concordance.inverted(sentences(spark, sf)).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))),
     "f17_kwic": lambda spark, sf: wide(concordance.kwic(sentences(spark, sf), "thing", 20)),
     "h09_token_importance": lambda spark, sf: wide(spans.token_importance(sentences(spark, sf)).groupBy("doc_id", "sentence_id").agg(F.count(F.lit(1)).alias("n"), F.sum("importance").alias("total"), F.max("end").alias("last"), F.sum("start").alias("starts"))),
-    "f19_span_enumeration": lambda spark, sf: wide(spans.enumerated(sentences(spark, sf).where("sentence_id < 3")).select("doc_id", "sentence_id", "start", C("end").alias("stop"), "span", "importance")),
-    "f03_ranked_spans": lambda spark, sf: wide(spans.ranked(spans.merged(spans.enumerated(sentences(spark, sf).where("sentence_id < 3")), ["doc_id", "sentence_id"]), ["doc_id", "sentence_id"]).select("doc_id", "sentence_id", "start", C("end").alias("stop"), "importance", "rank")),
+    "f19_span_enumeration": lambda spark, sf: wide(spans.enumerated(sentences(spark, sf)).select("doc_id", "sentence_id", "start", C("end").alias("stop"), "span", "importance")),
+    "f03_ranked_spans": lambda spark, sf: wide(spans.ranked(spans.merged(spans.enumerated(sentences(spark, sf)), ["doc_id", "sentence_id"]), ["doc_id", "sentence_id"]).select("doc_id", "sentence_id", "start", C("end").alias("stop"), "importance", "rank")),
 }
 
 _W = r"""w0 AS (SELECT doc_id, sentence_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS ws, string_split_regex(text, '[^ \t\n\x0B\f\r]+') AS gs FROM s),
   w1 AS (SELECT doc_id, sentence_id, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS word, unnest(gs[1:len(ws)]) AS gap FROM w0),
   w2 AS (SELECT *, (sum(length(gap) + length(word)) OVER (PARTITION BY doc_id, sentence_id ORDER BY pos))::BIGINT AS stop FROM w1),
   w AS (SELECT *, stop - length(word) AS start FROM w2)"""
-_ENUM = "e AS (SELECT a.doc_id, a.sentence_id, a.start, b.stop, substr(s.text, a.start + 1, b.stop - a.start) AS span, (b.stop - a.start)::DOUBLE AS importance FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.sentence_id = b.sentence_id AND b.pos BETWEEN a.pos AND a.pos + 3 JOIN s ON s.doc_id = a.doc_id AND s.sentence_id = a.sentence_id WHERE a.sentence_id < 3)"
+_ENUM = "e AS (SELECT a.doc_id, a.sentence_id, a.start, b.stop, substr(s.text, a.start + 1, b.stop - a.start) AS span, (b.stop - a.start)::DOUBLE AS importance FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.sentence_id = b.sentence_id AND b.pos BETWEEN a.pos AND a.pos + 3 JOIN s ON s.doc_id = a.doc_id AND s.sentence_id = a.sentence_id)"
 _GRAMS = "CASE WHEN length({0}) >= 4 THEN list_transform(range(1, length({0}) - 2), lambda i: substr({0}, i, 4)) ELSE [] END"
 _FLAT = r"trim(regexp_replace(lower(text), '[ \t\n\r\f]+', ' ', 'g'))"
 _CLEAN = rf"regexp_replace({_FLAT}, '[^\p{{L}}\p{{N}}_ ]+', '', 'g')"

@@ -34,6 +34,12 @@ def queries(spark, sf) -> DataFrame:
     return vectors(spark, sf).where("id % 50 = 0").select(C("id").alias("query_id"), "vector")
 
 
+def label_vectors(spark, sf) -> DataFrame:
+    """The first vector of each label stands for it."""
+    first = vectors(spark, sf).groupBy("label").agg(F.min("id").alias("code"))
+    return vectors(spark, sf).join(first.select("code"), C("id") == C("code")).select("code", "vector")
+
+
 def ordered(spark, sf) -> DataFrame:
     """Vectors as the sentences of ten documents."""
     return vectors(spark, sf).select(C("label").alias("doc_id"), C("id").alias("sentence_id"), "vector")
@@ -44,18 +50,34 @@ def cluster_edges(spark, sf) -> DataFrame:
     return graph.similarity_edges(members)
 
 
+def numbered(spark, sf) -> DataFrame:
+    """All sentences (doc_id, id, text), with one number for document and place."""
+    return sentences(spark, sf).select("doc_id", (C("doc_id") * 1_000_000 + C("sentence_id")).alias("id"), "text")
+
+
 def lines(spark, sf) -> DataFrame:
-    """The first sentences of documents as sets of character shingles."""
-    s = sentences(spark, sf).where("sentence_id = 0")
-    return s.select(C("doc_id").alias("id"), simjoin.char_shingles(F.substring("text", 1, 200)).alias("items"))
+    """Sentences as sets of character shingles."""
+    return numbered(spark, sf).select("id", simjoin.char_shingles(C("text")).alias("items"))
+
+
+def _banded_shortlist(spark, sf) -> DataFrame:
+    """D14 without vectors: sentences near each other, and those that are alike."""
+    s = numbered(spark, sf)
+    return wide(simjoin.shortlist(s.select("id", "text"), [simjoin.banded(s, ["doc_id"], 2), simjoin.jaccard_pairs(lines(spark, sf), 0.8)], 0.25, 0.08))
 
 
 def _shortlist(spark, sf) -> DataFrame:
-    s = sentences(spark, sf).select("doc_id", "sentence_id", "text").withColumn("id", C("doc_id") * 100000 + C("sentence_id"))
-    texts = s.select("id", "text")
-    near = simjoin.banded(s, ["doc_id"], 2)
-    alike = simjoin.jaccard_pairs(s.where("sentence_id = 0").select("id", simjoin.char_shingles(F.substring("text", 1, 200)).alias("items")), 0.8)
-    return wide(simjoin.shortlist(texts, [near, alike], 0.25, 0.08))
+    """Pairs of sentences whose vectors are near, by an index of cells, and of those that are alike.
+
+    Of sentences with one text the first stands for all: the rest are its copies in the second source.
+    """
+    s = numbered(spark, sf).select("id", "text")
+    first = graph.kept(models.encoded(s.groupBy("text").agg(F.min("id").alias("id")), "text", lambda: models.hashed_words(64)).select("id", "vector"))
+    n = first.count()
+    index, centres = V.cell_index(first, max(2, min(4096, round(n**0.5))))
+    near = V.probe(index, centres, first.select(C("id").alias("query_id"), "vector"), 10, 4)
+    pairs = near.select(F.least("query_id", "id").alias("i"), F.greatest("query_id", "id").alias("j"))
+    return wide(simjoin.shortlist(s, [pairs, simjoin.jaccard_pairs(lines(spark, sf), 0.8)], 0.25, 0.08))
 
 
 def _communities(spark, sf) -> DataFrame:
@@ -129,11 +151,14 @@ _WS = r"""cw AS (SELECT item_id AS claim_id, list_distinct(list_filter(string_sp
 _STAGE = f"st AS (SELECT claim_id, ws.doc_id, ws.sentence_id, score AS dense, round({_ratio('b.text', 's.text')}, 6) AS ce, length(s.text) % 10 / 10.0::DOUBLE AS ig FROM ws JOIN benchmark b ON b.item_id = claim_id JOIN s ON s.doc_id = ws.doc_id AND s.sentence_id = ws.sentence_id)"
 _SUP = "su AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, doc_id, sentence_id) AS rank FROM ws WHERE score >= {0})"
 _KNN = "kn AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 50 = 0)"
-_CE = "ce AS (SELECT a.label AS cluster_id, a.id AS i, b.id AS j, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.label = b.label AND a.id < b.id WHERE a.id < 200 AND b.id < 200), se AS (SELECT * FROM ce WHERE score > 0.1)"
+_CE = "ce AS (SELECT a.label AS cluster_id, a.id AS i, b.id AS j, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.label = b.label AND a.id < b.id), se AS (SELECT * FROM ce WHERE score > 0.1)"
 _SP = "sp AS (SELECT i, j, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, i, j) AS k FROM (SELECT i, j, score, unnest([i, j]) AS q FROM se WHERE score >= {0})) WHERE k <= {1} GROUP BY i, j, score HAVING count(*) = 2)"
 _MEAN = "pl AS (SELECT label, generate_subscripts(v, 1) AS p, unnest(v) AS x FROM e), mp AS (SELECT label, p, avg(x) AS x FROM pl GROUP BY label, p), me AS (SELECT label, list(x ORDER BY p) AS c FROM mp GROUP BY label), si AS (SELECT e.label, id, round(list_cosine_similarity(v, c), {0}) AS sim FROM e JOIN me ON e.label = me.label)"
 _SH = "CASE WHEN length({0}) >= 5 THEN list_distinct(list_transform(range(1, length({0}) - 3), lambda i: substr({0}, i, 5))) ELSE [{0}] END"
-_FS = f"fa AS (SELECT doc_id AS id, list_sort({_SH.format('lower(substr(text, 1, 200))')}) AS items FROM s WHERE sentence_id = 0), fr AS (SELECT *, min(id) OVER (PARTITION BY items) AS rep FROM fa), fs AS (SELECT id, items FROM fr WHERE id = rep), jp AS (SELECT a.id AS i, b.id AS j, round(len(list_intersect(a.items, b.items))::DOUBLE / (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items))), 6) AS score FROM fs a JOIN fs b ON a.id < b.id AND least(len(a.items), len(b.items)) >= 0.8 * greatest(len(a.items), len(b.items)) UNION ALL SELECT rep, id, 1.0 FROM fr WHERE id <> rep)"
+_FS = f"""fa AS (SELECT doc_id * 1000000 + sentence_id AS id, list_sort({_SH.format('lower(text)')}) AS items FROM s), fr AS (SELECT *, min(id) OVER (PARTITION BY items) AS rep FROM fa), fs AS (SELECT id, items, len(items) AS n FROM fr WHERE id = rep),
+  it AS (SELECT id, n, unnest(items) AS item FROM fs), fd AS (SELECT item, count(*) AS df FROM it GROUP BY item), rk AS (SELECT id, n, item, df, row_number() OVER (PARTITION BY id ORDER BY df, item) AS k FROM it JOIN fd USING (item)), pf AS (SELECT id, n, item FROM rk WHERE df > 1 AND k <= n - ceil(n * 0.8 - 1e-9) + 1),
+  cp AS (SELECT DISTINCT a.id AS i, b.id AS j FROM pf a JOIN pf b ON a.item = b.item AND a.id < b.id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9),
+  jp AS (SELECT i, j, round(len(list_intersect(a.items, b.items))::DOUBLE / (a.n + b.n - len(list_intersect(a.items, b.items))), 6) AS score FROM cp JOIN fs a ON a.id = i JOIN fs b ON b.id = j UNION ALL SELECT rep, id, 1.0 FROM fr WHERE id <> rep)"""
 
 QUERIES = {
     "f01_supporting": lambda spark, sf: wide(attribution.supporting(word_scores(spark, sf, 0.1), 3, 0.1)),
@@ -151,6 +176,7 @@ QUERIES = {
     "g06_minhash_exact": lambda spark, sf: wide(simjoin.jaccard_pairs(lines(spark, sf), 0.8)),
     "g06_minhash_bands": lambda spark, sf: wide(simjoin.minhash_pairs(lines(spark, sf), 0.8)),
     "d14_shortlist": _shortlist,
+    "d14_banded": _banded_shortlist,
     "g08_similarity_graph": lambda spark, sf: wide(cluster_edges(spark, sf)),
     "g11_sparsified": lambda spark, sf: wide(graph.sparsified(cluster_edges(spark, sf).select("i", "j", "score"), 0.2, 5)),
     "g11_communities": _communities,
@@ -164,7 +190,7 @@ QUERIES = {
     "d03_ranked_hits": _ranked_hits,
     "d13_soft_match": _soft_match,
     "h02_argmax": lambda spark, sf: wide(vectors(spark, sf).select("id", models.argmax_label(C("vector").cast("array<double>")).alias("x")).select("id", "x.*")),
-    "h03_nearest_label": lambda spark, sf: wide(models.nearest_label(vectors(spark, sf).select("id", "vector"), vectors(spark, sf).where("id < 20").select(C("id").alias("code"), "vector"), 0.3)),
+    "h03_nearest_label": lambda spark, sf: wide(models.nearest_label(vectors(spark, sf).select("id", "vector"), label_vectors(spark, sf), 0.3)),
     "a13_upsert": _upsert,
     "f11_set_operations": lambda spark, sf: wide((lambda a, b: a.intersect(b).withColumn("op", F.lit("and")).union(a.union(b).distinct().withColumn("op", F.lit("or"))))(table(spark, sf, "documents").where("lang = 'fr'").select("source"), table(spark, sf, "documents").where("doc_id % 7 = 0").select("source"))),
     "f10_ordered_documents": lambda spark, sf: wide(table(spark, sf, "documents").select("doc_id", F.when(C("doc_id") % 3 > 0, C("source")).alias("stamp")).orderBy(F.desc(F.coalesce("stamp", F.lit(""))), "doc_id").limit(25)),
@@ -184,21 +210,21 @@ ORACLE = {
     "g02_unit": with_(_VEC) + "SELECT id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS x, round(v[64] / sqrt(list_dot_product(v, v)), 6) AS y FROM e",
     "g04_vector_concordance": with_(_VEC) + "SELECT label::BIGINT AS doc_id, id AS sentence_id, score, row_number() OVER (ORDER BY score DESC, label, id) AS rank FROM (SELECT b.label, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.id = 7) ORDER BY rank LIMIT 20",
     "g06_minhash_exact": with_("s", _FS) + "SELECT * FROM jp WHERE score >= 0.8",
-    "d14_shortlist": with_("s", _FS, f"nb AS (SELECT a.doc_id * 100000 + a.sentence_id AS i, b.doc_id * 100000 + b.sentence_id AS j FROM (SELECT doc_id, sentence_id, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_id) AS r FROM s) a JOIN (SELECT doc_id, sentence_id, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_id) AS r FROM s) b ON a.doc_id = b.doc_id AND b.r - a.r BETWEEN 1 AND 2), pr AS (SELECT i, j FROM nb UNION SELECT i * 100000, j * 100000 FROM jp WHERE score >= 0.8), tx AS (SELECT doc_id * 100000 + sentence_id AS id, text FROM s), px AS (SELECT i, j, a.text AS x, b.text AS y FROM pr JOIN tx a ON a.id = i JOIN tx b ON b.id = j)") + f"SELECT i, j FROM px WHERE {_ratio('x', 'y')} >= 0.25 AND {_jac('x', 'y')} >= 0.08",
+    "d14_banded": with_("s", _FS, "nb AS (SELECT a.doc_id * 1000000 + a.sentence_id AS i, b.doc_id * 1000000 + b.sentence_id AS j FROM (SELECT doc_id, sentence_id, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_id) AS r FROM s) a JOIN (SELECT doc_id, sentence_id, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_id) AS r FROM s) b ON a.doc_id = b.doc_id AND b.r - a.r BETWEEN 1 AND 2), pr AS (SELECT i, j FROM nb UNION SELECT i, j FROM jp WHERE score >= 0.8), tx AS (SELECT doc_id * 1000000 + sentence_id AS id, text FROM s), px AS (SELECT i, j, a.text AS x, b.text AS y FROM pr JOIN tx a ON a.id = i JOIN tx b ON b.id = j)") + f"SELECT i, j FROM px WHERE {_ratio('x', 'y')} >= 0.25 AND {_jac('x', 'y')} >= 0.08",
     "g08_similarity_graph": with_(_VEC, _CE) + "SELECT cluster_id::BIGINT AS cluster_id, i, j, score FROM se",
     "g11_sparsified": with_(_VEC, _CE, _SP.format(0.2, 5)) + "SELECT i, j, score FROM sp",
-    "g11_communities": with_(_VEC, _CE, _SP.format(0.55, 30), "nb AS (SELECT i AS a, j AS b FROM sp UNION SELECT j, i FROM sp UNION SELECT id, id FROM e WHERE id < 200), v1 AS (SELECT a, b AS c, count(*) AS n FROM nb GROUP BY ALL), l1 AS (SELECT a AS id, (array_agg(c ORDER BY n DESC, c))[1] AS c FROM v1 GROUP BY a), v2 AS (SELECT a, c, count(*) AS n FROM nb JOIN l1 ON l1.id = b GROUP BY ALL)") + "SELECT a AS id, (array_agg(c ORDER BY n DESC, c))[1] AS community FROM v2 GROUP BY a",
+    "g11_communities": with_(_VEC, _CE, _SP.format(0.55, 30), "nb AS (SELECT i AS a, j AS b FROM sp UNION SELECT j, i FROM sp UNION SELECT id, id FROM e), v1 AS (SELECT a, b AS c, count(*) AS n FROM nb GROUP BY ALL), l1 AS (SELECT a AS id, (array_agg(c ORDER BY n DESC, c))[1] AS c FROM v1 GROUP BY a), v2 AS (SELECT a, c, count(*) AS n FROM nb JOIN l1 ON l1.id = b GROUP BY ALL)") + "SELECT a AS id, (array_agg(c ORDER BY n DESC, c))[1] AS community FROM v2 GROUP BY a",
     "g12_group_summary": with_(_VEC, _MEAN.format(5), "rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, id) AS k FROM si)") + "SELECT label::BIGINT AS group_id, min(id) FILTER (WHERE k = 1) AS representative, coalesce(string_agg(id::VARCHAR, ',' ORDER BY k) FILTER (WHERE k <= 3 AND sim >= 0), '') AS kept FROM rk GROUP BY label",
     "g13_extractive_summary": with_(_VEC, _MEAN.format(6), "rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, id) AS k FROM si)") + "SELECT label::BIGINT AS group_id, string_agg('v' || id, '. ' ORDER BY id) AS summary FROM rk WHERE k <= 4 GROUP BY label",
-    "g14_descendants": "WITH RECURSIVE ed AS (SELECT vec_id // 3 AS parent, vec_id AS child FROM embeddings WHERE vec_id > 0 AND vec_id < 300), d(root, node, level) AS (SELECT i, i, 0::BIGINT FROM range(0, 3) t(i) UNION SELECT root, child, level + 1 FROM d JOIN ed ON parent = node WHERE level < 20) SELECT root, node, min(level) AS level FROM d GROUP BY ALL",
-    "d15_chain_edges": "WITH ed AS (SELECT vec_id // 3 AS parent, vec_id AS child, CASE WHEN vec_id % 4 = 0 THEN 'corefer' ELSE 'parent' END AS label FROM embeddings WHERE vec_id > 0 AND vec_id < 300), me AS (SELECT vec_id % 2 AS chain_id, vec_id AS node FROM embeddings WHERE vec_id < 300 UNION SELECT 2, vec_id FROM embeddings WHERE vec_id < 60) SELECT a.chain_id, parent, child, label FROM ed JOIN me a ON a.node = parent JOIN me b ON b.node = child AND a.chain_id = b.chain_id",
-    "d15_chain_roots": "WITH ed AS (SELECT vec_id // 3 AS parent, vec_id AS child, CASE WHEN vec_id % 4 = 0 THEN 'corefer' ELSE 'parent' END AS label FROM embeddings WHERE vec_id > 0 AND vec_id < 300), me AS (SELECT vec_id % 2 AS chain_id, vec_id AS node FROM embeddings WHERE vec_id < 300 UNION SELECT 2, vec_id FROM embeddings WHERE vec_id < 60), r AS (SELECT DISTINCT a.chain_id, child AS node FROM ed JOIN me a ON a.node = parent JOIN me b ON b.node = child AND a.chain_id = b.chain_id WHERE label <> 'corefer'), f AS (SELECT * FROM me EXCEPT SELECT * FROM r) SELECT * FROM f UNION ALL SELECT * FROM me WHERE chain_id NOT IN (SELECT chain_id FROM f)",
+    "g14_descendants": "WITH RECURSIVE ed AS (SELECT vec_id // 3 AS parent, vec_id AS child FROM embeddings WHERE vec_id > 0), d(root, node, level) AS (SELECT i, i, 0::BIGINT FROM range(0, 3) t(i) UNION SELECT root, child, level + 1 FROM d JOIN ed ON parent = node WHERE level < 20) SELECT root, node, min(level) AS level FROM d GROUP BY ALL",
+    "d15_chain_edges": "WITH ed AS (SELECT vec_id // 3 AS parent, vec_id AS child, CASE WHEN vec_id % 4 = 0 THEN 'corefer' ELSE 'parent' END AS label FROM embeddings WHERE vec_id > 0), me AS (SELECT vec_id % 2 AS chain_id, vec_id AS node FROM embeddings UNION SELECT 2, vec_id FROM embeddings) SELECT a.chain_id, parent, child, label FROM ed JOIN me a ON a.node = parent JOIN me b ON b.node = child AND a.chain_id = b.chain_id",
+    "d15_chain_roots": "WITH ed AS (SELECT vec_id // 3 AS parent, vec_id AS child, CASE WHEN vec_id % 4 = 0 THEN 'corefer' ELSE 'parent' END AS label FROM embeddings WHERE vec_id > 0), me AS (SELECT vec_id % 2 AS chain_id, vec_id AS node FROM embeddings UNION SELECT 2, vec_id FROM embeddings), r AS (SELECT DISTINCT a.chain_id, child AS node FROM ed JOIN me a ON a.node = parent JOIN me b ON b.node = child AND a.chain_id = b.chain_id WHERE label <> 'corefer'), f AS (SELECT * FROM me EXCEPT SELECT * FROM r) SELECT * FROM f UNION ALL SELECT * FROM me WHERE chain_id NOT IN (SELECT chain_id FROM f)",
     "d01_embedding_join": with_("s") + "SELECT s.doc_id, s.sentence_id, len(embedding)::BIGINT AS dim, length(s.text) AS n, d.source FROM embeddings JOIN s ON s.doc_id = vec_id AND s.sentence_id = 0 LEFT JOIN documents d ON d.doc_id = vec_id AND d.doc_id % 3 > 0",
     "d02_sentence_document": with_("s") + "SELECT quality::BIGINT AS quality, count(*) AS n FROM s LEFT JOIN labels l ON l.doc_id = s.doc_id GROUP BY quality",
     "d03_ranked_hits": with_("s", "h AS (SELECT doc_id, n_chars % 4 AS sentence_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents)") + "SELECT s.doc_id, s.sentence_id, rank, length(text) AS n FROM h JOIN s USING (doc_id, sentence_id) WHERE rank <= 100",
-    "d13_soft_match": "WITH w AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN source ELSE substr(source, 3, 10) END AS name FROM documents WHERE doc_id < 40), h AS (SELECT DISTINCT source FROM documents) SELECT name, source FROM w JOIN h ON name = source UNION ALL SELECT name, min(source) FROM w JOIN h ON suffix(source, name) WHERE name NOT IN (SELECT source FROM h) GROUP BY name",
+    "d13_soft_match": "WITH w AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN source ELSE substr(source, 3, 10) END AS name FROM documents), h AS (SELECT DISTINCT source FROM documents) SELECT name, source FROM w JOIN h ON name = source UNION ALL SELECT name, min(source) FROM w JOIN h ON suffix(source, name) WHERE name NOT IN (SELECT source FROM h) GROUP BY name",
     "h02_argmax": with_(_VEC) + "SELECT id, list_position(v, list_max(v))::BIGINT - 1 AS label, round(1 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 6) AS confidence FROM e",
-    "h03_nearest_label": with_(_VEC, "nl AS (SELECT a.id, b.id AS code, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE b.id < 20), bl AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, code) AS k FROM nl)") + "SELECT id, CASE WHEN score >= 0.3 THEN code END AS label, score FROM bl WHERE k = 1",
+    "h03_nearest_label": with_(_VEC, "nl AS (SELECT a.id, b.id AS code, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE b.id IN (SELECT min(id) FROM e GROUP BY label)), bl AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, code) AS k FROM nl)") + "SELECT id, CASE WHEN score >= 0.3 THEN code END AS label, score FROM bl WHERE k = 1",
     "a13_upsert": "SELECT doc_id * 2 AS doc_id, quality::BIGINT + 10 AS n_chars, 1::BIGINT AS version FROM labels UNION ALL SELECT doc_id, n_chars, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id * 2 FROM labels)",
     "f11_set_operations": "WITH a AS (SELECT source FROM documents WHERE lang = 'fr'), b AS (SELECT source FROM documents WHERE doc_id % 7 = 0) SELECT source, 'and' AS op FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT source, 'or' FROM (SELECT * FROM a UNION SELECT * FROM b)",
     "f10_ordered_documents": "SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source END AS stamp FROM documents ORDER BY coalesce(CASE WHEN doc_id % 3 > 0 THEN source END, '') DESC, doc_id LIMIT 25",
