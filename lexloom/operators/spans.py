@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,49 +80,69 @@ def smoothed(tokens: DataFrame, keys: list[str], width: int = 3) -> DataFrame:
     return tokens.withColumn("smooth", F.round(F.sum("importance").over(around) / width, 6))
 
 
-def peaks(text: str, offsets: list[tuple[int, int]], scores: list[float], top_k: int = 1, width: int = 3, least: int = 20, gap: int = 15) -> list[tuple[int, int, float]]:
-    """(start, end, score) of the spans around the highest places, each grown while it stays above a quarter of its
-    peak; short ones go, near ones merge, the best top_k stay."""
-    if width > 1 and scores:
-        scores = np.convolve(np.array(scores, float), np.ones(width), mode="same") / width
-    height = np.zeros(len(text))
-    for (a, b), s in zip(offsets, scores, strict=False):  # few scores give a longer average
-        if a < b <= len(text):
-            height[a:b] += s
-    found = []
-    for _ in range(3 * top_k if len(text) else 0):
-        at = int(height.argmax())
-        if height[at] <= 0:
-            break
-        low = np.flatnonzero(height < 0.25 * height[at])
-        left = low[low < at].max(initial=-1) + 1
-        right = low[low > at].min(initial=len(height))
-        if right - left >= least:
-            found.append((int(left), int(right), float(height[left:right].sum())))
-        height[left:right] = 0
-    out: list[list] = []
-    for a, b, s in sorted(found):
-        if out and a - out[-1][1] <= gap:
-            out[-1] = [out[-1][0], max(out[-1][1], b), out[-1][2] + s]
-        else:
-            out.append([a, b, s])
-    return [tuple(x) for x in sorted(out, key=lambda x: -x[2])[:top_k]]
-
-
 def peak_spans(sents: DataFrame, tokens: DataFrame, top_k: int = 1, width: int = 3, least: int = 20, gap: int = 15) -> DataFrame:
-    """(doc_id, sentence_id, start, end, score) for each sentence, from its tokens (start, end, importance)."""
-    listed = tokens.groupBy("doc_id", "sentence_id").agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end", "importance"))).alias("t"))
-    joined = sents.select("doc_id", "sentence_id", "text").join(listed, ["doc_id", "sentence_id"])
-    kind = dict(sents.dtypes)["doc_id"]
-
-    def each(batches):
-        for pdf in batches:
-            out = []
-            for d, s, text, t in zip(pdf["doc_id"], pdf["sentence_id"], pdf["text"], pdf["t"], strict=True):
-                out += [(d, s, a, b, round(v, 6)) for a, b, v in peaks(text, [(x["start"], x["end"]) for x in t], [x["importance"] for x in t], top_k, width, least, gap)]
-            yield pd.DataFrame(out, columns=["doc_id", "sentence_id", "start", "end", "score"])
-
-    return joined.mapInPandas(each, f"doc_id {kind}, sentence_id int, start int, end int, score double")
+    """(doc_id, sentence_id, start, end, score): of each sentence, the best spans around the highest tokens.
+
+    tokens (doc_id, sentence_id, pos, start, end, importance) are apart, in the order of pos. Smoothed tokens have one height
+    over their characters, and what lies between them none. A span is the run of neighbouring tokens around a peak that
+    reach a quarter of its height; it counts if it has `least` characters. Each round, 3 * top_k at most, takes the highest
+    token that no span has taken. Spans within `gap` characters of each other become one; score is the height summed over
+    characters. Each round is a window over the tokens of a sentence.
+    """
+    keys = ["doc_id", "sentence_id"]
+    order = Window.partitionBy(*keys).orderBy("pos")
+    every = Window.partitionBy(*keys)
+    rows = smoothed(tokens, keys, width).withColumn("h", F.col("smooth") if width > 1 else F.col("importance"))
+    # Sentences of fewer tokens than the average takes: the first ones aren't in its middle.
+    for n in range(2, width):
+        shifted = order.rowsBetween((n - 1) // 2 - width + 1, (n - 1) // 2)
+        rows = rows.withColumn("h", F.when(F.count(F.lit(1)).over(every) == n, F.round(F.sum("importance").over(shifted) / width, 6)).otherwise(F.col("h")))
+    # Tokens that touch are neighbours; a gap between two has no height, and ends a span.
+    rows = rows.withColumn("run", F.sum(F.when(F.lag("end").over(order) == F.col("start"), 0).otherwise(1)).over(order)).withColumn("taken", F.lit(0))
+    for turn in range(1, 3 * top_k + 1):
+        free = F.when(F.col("taken") == 0, F.col("h")).otherwise(0.0)
+        peak = F.max(F.struct(free.alias("h"), (-F.col("pos")).alias("p"), "run")).over(every)
+        rows = rows.withColumn("peak", peak)
+        low = (free < 0.25 * F.col("peak.h")) | (F.col("run") != F.col("peak.run"))
+        before = F.max(F.when(low & (F.col("pos") < -F.col("peak.p")), F.col("pos"))).over(every)
+        after = F.min(F.when(low & (F.col("pos") > -F.col("peak.p")), F.col("pos"))).over(every)
+        inside = (F.col("peak.h") > 0) & (F.col("pos") > F.coalesce(before, F.lit(-1))) & (F.col("pos") < F.coalesce(after, F.lit(1 << 30)))
+        rows = rows.withColumn("taken", F.when(inside & (F.col("taken") == 0), turn).otherwise(F.col("taken"))).drop("peak")
+    found = rows.where("taken > 0").groupBy(*keys, "taken").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.col("h") * (F.col("end") - F.col("start"))).alias("score")).where(F.col("end") - F.col("start") >= least)
+    near = Window.partitionBy(*keys).orderBy("start")
+    joined = found.withColumn("new", F.when(F.col("start") - F.lag("end").over(near) <= gap, 0).otherwise(1)).withColumn("group", F.sum("new").over(near))
+    spans = joined.groupBy(*keys, "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.round(F.sum("score"), 6).alias("score"))
+    best = Window.partitionBy(*keys).orderBy(F.desc("score"), "start")
+    return spans.withColumn("k", F.row_number().over(best)).where(F.col("k") <= top_k).select(*keys, "start", "end", "score")
+
+
+def span_candidates(spans: DataFrame, sents: DataFrame, chunks: DataFrame, stop: tuple[str, ...]) -> DataFrame:
+    """(doc_id, sentence_id, span_id, rule, start, end): places to look up in chains for a span, each once, by its first
+    rule: 1 the phrase at or left of a span that holds none, 3 the span without stop words, if it begins and ends with two of
+    them and the rest stands in the sentence, 4 each phrase within it, 5 the last word of each of those, 9 the span itself.
+
+    spans: (doc_id, sentence_id, span_id, start, end) within sentences (doc_id, sentence_id, text). chunks: (doc_id,
+    sentence_id, start, head, end), the phrases of an engine, and where their last word begins.
+    """
+    keys = ["doc_id", "sentence_id"]
+    c = chunks.select(F.col("doc_id").alias("__d"), F.col("sentence_id").alias("__s"), F.col("start").alias("c0"), F.col("head").alias("ch"), F.col("end").alias("c1"))
+    met = spans.join(c, (F.col("doc_id") == F.col("__d")) & (F.col("sentence_id") == F.col("__s")) & (F.col("c0") < F.col("end")), "left").drop("__d", "__s")
+    within = (F.col("c0") >= F.col("start")) & (F.col("c1") <= F.col("end"))
+    place = lambda rule, a, b: F.struct(F.lit(rule).alias("rule"), a.alias("a"), b.alias("b"))
+    inside = met.where(within).select(*keys, "span_id", F.explode(F.array(place(4, F.col("c0"), F.col("c1")), place(5, F.col("ch"), F.col("c1")))).alias("x"))
+    one = met.groupBy(*keys, "span_id", "start", "end").agg(F.max(F.when(within, 1).otherwise(0)).alias("has"), F.max(F.when(F.col("c0") <= F.col("start"), F.struct("c0", "c1"))).alias("left"))
+    left = one.where("has = 0 and left is not null").select(*keys, "span_id", place(1, F.col("left.c0"), F.col("left.c1")).alias("x"))
+    text = sents.select(*keys, "text")
+    words = F.split(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")), " ")
+    words = spans.join(text, keys).withColumn("w", F.filter(words, lambda w: w != ""))
+    stops = lambda w: F.lower(w).isin(*stop)
+    ends = F.concat(F.slice("w", 1, 2), F.slice("w", F.greatest(F.lit(1), F.size("w") - 1), F.lit(2)))
+    rest = F.array_join(F.filter("w", lambda w: ~stops(w)), " ")
+    stripped = words.where((F.size("w") > 0) & F.forall(ends, stops)).withColumn("rest", rest).withColumn("at", F.instr("text", F.col("rest")))
+    stripped = stripped.where("rest <> '' and at > 0").select(*keys, "span_id", place(3, F.col("at") - 1, F.col("at") - 1 + F.length("rest")).alias("x"))
+    own = spans.select(*keys, "span_id", place(9, F.col("start"), F.col("end")).alias("x"))
+    every = inside.unionByName(left).unionByName(stripped).unionByName(own).select(*keys, "span_id", "x.*")
+    return every.groupBy(*keys, "span_id", F.col("a").alias("start"), F.col("b").alias("end")).agg(F.min("rule").alias("rule"))
 
 
 def chunk_evidence(docs: DataFrame, claims: DataFrame, most: int = 768, advance: int = 128, scorer=None) -> DataFrame:
