@@ -31,6 +31,8 @@ SENTENCES = (
 CHAINS = f"doc_id string, chain_id int, representative string, mentions array<{MENTION}>, edges array<struct<antecedent:int,anaphor:int,tag:string>>"
 CLUSTERS = "doc_id string, cluster_id int, members array<int>"
 EMBEDDINGS = "doc_id string, sentence_id int, model string, dim int, vector array<float>"
+GRAMS = "doc_id string, chain_id int, head string, gram string, cnt bigint"
+COOC_EDGES = "doc_id string, row_tok string, col_tok string, ppmi double"
 #: A record of a processed document; both spellings of what has two.
 RECORD = (
     "doc_id string, full_text string, sentence_analyses array<struct<sentence_id:int,sentence_text:string,text:string,doc_start:int,doc_end:int,start:int,end:int,"
@@ -40,8 +42,8 @@ RECORD = (
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*.{pdf,PDF}", limit: int | None = None) -> DataFrame:
-    """(path, length, modificationTime, content) of the files below a folder, each once."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).dropDuplicates(["path"])
+    """(path, length, modificationTime, content) of the files below a folder, each once, as one scan lists them."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     return found.orderBy("path").limit(limit) if limit else found
 
 
@@ -103,11 +105,11 @@ def csv_rows(spark: SparkSession, path: str, claim: str, dois: str | None = None
     return rows.select(F.col(claim).alias("claim"), listed.alias("dois"))
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """Processed documents from JSON, whether bare, or in production_output."""
+def records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Processed documents from JSON, whether bare, or in production_output: a file each, or, with lines, a line each."""
     record = parsed(RECORD)
     wrapped = T.StructType([*record.fields, T.StructField("production_output", record)])
-    rows = spark.read.schema(wrapped).option("multiLine", "true").json(path)
+    rows = spark.read.schema(wrapped).option("multiLine", str(not lines).lower()).json(path)
     return rows.select(*[F.coalesce(F.col(f"production_output.{f.name}"), F.col(f.name)).alias(f.name) for f in record.fields])
 
 

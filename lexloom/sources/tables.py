@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.sources import corpus as C
 
-SCHEMAS = {"documents": C.DOCUMENTS, "sentences": C.SENTENCES, "chains": C.CHAINS, "clusters": C.CLUSTERS, "embeddings": C.EMBEDDINGS}
-KEYS = {"documents": ["doc_id"], "sentences": ["doc_id", "sentence_id"], "chains": ["doc_id", "chain_id"], "clusters": ["doc_id", "cluster_id"], "embeddings": ["doc_id", "sentence_id", "model"]}
+SCHEMAS = {"documents": C.DOCUMENTS, "sentences": C.SENTENCES, "chains": C.CHAINS, "clusters": C.CLUSTERS, "embeddings": C.EMBEDDINGS, "grams": C.GRAMS, "cooc_edges": C.COOC_EDGES}
+KEYS = {"documents": ["doc_id"], "sentences": ["doc_id", "sentence_id"], "chains": ["doc_id", "chain_id"], "clusters": ["doc_id", "cluster_id"], "embeddings": ["doc_id", "sentence_id", "model"], "grams": ["doc_id", "chain_id", "gram"], "cooc_edges": ["doc_id", "row_tok", "col_tok"]}
 
 
 def migrated(rows: DataFrame, ddl: str) -> DataFrame:
@@ -70,6 +71,29 @@ class Store:
         new = migrated(rows, SCHEMAS[name]) if not order else rows
         self.write(name, upserted(self.read(name), new, KEYS[name], order))
 
+    def replace(self, name: str, ids: DataFrame, rows: DataFrame) -> None:
+        """All rows of the documents (doc_id) in ids give way to these; those of others stay."""
+        new = migrated(rows, SCHEMAS[name])
+        self.write(name, self.read(name).join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*new.columns).unionByName(new))
+
+    def embed(self, sents: DataFrame, model: str, load: Callable, batch: int = 256) -> None:
+        """Vectors of sentences (doc_id, sentence_id, text) by a model that load() gives; empty ones are left out."""
+        from lexloom.operators.models import encoded
+
+        rows = encoded(sents.select("doc_id", "sentence_id", "text"), "text", load, batch=batch).where("vector is not null and size(vector) > 0")
+        self.upsert("embeddings", rows.select("doc_id", "sentence_id", F.lit(model).alias("model"), F.size("vector").alias("dim"), "vector"))
+
+    def vectors(self, sents: DataFrame, model: str, load: Callable) -> DataFrame:
+        """(doc_id, sentence_id, vector) of sentences: the stored vectors, and the others, which are made and stored."""
+        have = lambda: self.read("embeddings").where(F.col("model") == model).select("doc_id", "sentence_id", "vector")
+        wanted = sents.withColumn("doc_id", F.col("doc_id").cast("string"))
+        self.embed(wanted.join(have(), ["doc_id", "sentence_id"], "left_anti"), model, load)
+        return have().join(wanted.select("doc_id", "sentence_id"), ["doc_id", "sentence_id"])
+
+    def tables(self) -> list[tuple[str, int, int]]:
+        """The tables that an opened store has, with their columns and rows."""
+        return [(name, len(C.parsed(ddl).fields), self.read(name).count()) for name, ddl in SCHEMAS.items()]
+
     def export(self, records: DataFrame, uri: str | None = None) -> None:
         """A record's document, sentences, chains and clusters."""
         sents = C.record_sentences(records)
@@ -109,6 +133,14 @@ def with_metadata(rows: DataFrame, meta: DataFrame, path: str, columns: list[str
     return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
+def uploaded(files: DataFrame, root: str) -> DataFrame:
+    """Files (name, content) kept below a folder under the hash of what they hold, so that a file has one place however
+    often it comes: (name, path, length). What is there already is written again, and so comes back where it was lost."""
+    named = files.select("name", "content", F.sha2("content", 256).alias("key"))
+    named.groupBy("key").agg(F.first("content").alias("content")).withColumn("shard", F.substring("key", 1, 2)).write.mode("overwrite").partitionBy("shard").parquet(f"{root}/uploads")
+    return named.select("name", F.concat(F.lit("uploads/"), "key").alias("path"), F.length("content").alias("length"))
+
+
 def write_texts(docs: DataFrame, root: str, lang: str = "lang") -> None:
     """A text column, by language, and the documents' metadata as CSV."""
     docs.select(lang, F.replace("text", F.lit("\n"), F.lit("\\n")).alias("value")).write.mode("overwrite").partitionBy(lang).text(f"{root}/texts")
