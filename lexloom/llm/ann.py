@@ -4,7 +4,8 @@ Vectors are dealt into shards of a bounded size. A shard's graph is built in bul
 of a level are linked to diverse near neighbours (a neighbour nearer to one already chosen than to the vector itself is
 passed over), and links go both ways. Vectors and neighbours are kept as flat arrays, a stored row for each shard. Queries
 come in blocks: all of a block descend a shard's levels together, from the top one's entry point, and spread over the
-lowest level with a beam. The best of each shard are merged, with exact scores of the original vectors.
+lowest level with a beam. A shard stays in its task, and blocks of queries pass through it. The best of each shard are
+merged, with exact scores of the original vectors.
 """
 
 from __future__ import annotations
@@ -206,9 +207,13 @@ _INDEX = "dim int, shard int, vectors binary, ids binary, lowest binary, upper b
 def neighbours(shards: DataFrame, queries: DataFrame, top: int = TOP, beam: int = BEAM, block: int = QUERIES) -> DataFrame:
     """Of an index and usable() rows as queries: query_id, rank, vec_id, score, the top nearest of each query.
 
-    A query meets vectors of its own length, but for its own id. Equal scores go by vec_id. Blocks of queries meet every
-    shard, a task each; each shard gives its best, which are ranked again.
+    A query meets vectors of its own length, but for its own id. Equal scores go by vec_id. Queries are stored in blocks in
+    the shared folder; the task of a shard reads them from there, one block at a time, so no array of the index is shuffled.
+    Each shard gives its best, which are ranked again. Repeated queries count once; without queries or vectors there are no
+    rows.
     """
+    from lexloom.llm.files import opened
+
     packed = queries.distinct().select("dim", "vec_id", "v").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // block)))).cast("int"))
 
     def bind(batches):
@@ -227,39 +232,51 @@ def neighbours(shards: DataFrame, queries: DataFrame, top: int = TOP, beam: int
             yield done()
 
     blocks = stored(in_batches(packed.repartition("dim", "block").sortWithinPartitions("dim", "block", "vec_id"), bind, "qdim int, block int, q binary, qids binary"), "queries")
-    numbers = shards.select(F.col("dim").alias("d"), F.col("shard").alias("s"))
-    # A row for each block and shard; the arrays come by their keys.
-    tasks = blocks.join(F.broadcast(numbers), F.col("qdim") == F.col("d")).join(shards, (F.col("d") == F.col("dim")) & (F.col("s") == F.col("shard")))
+    if blocks.isEmpty():
+        return blocks.select(F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("double").alias("score"))
+    folder = blocks._lexloom_path
 
     def meet(batches):
+        import pyarrow.dataset as ds
+
+        files, root = opened(folder)
+        asked = ds.dataset(root, filesystem=files, format="parquet")
         for batch in batches:
             for i in range(batch.num_rows):
                 dim = batch.column("dim")[i].as_py()
-                raw = {c: batch.column(c)[i].as_buffer() for c in ("q", "qids", "vectors", "ids", "lowest", "upper")}
-                q, x = (np.frombuffer(raw[c], np.float64).reshape(-1, dim) for c in ("q", "vectors"))
-                qids, ids = np.frombuffer(raw["qids"], np.int64), np.frombuffer(raw["ids"], np.int64).reshape(len(x), -1)
+                raw = {c: batch.column(c)[i].as_buffer() for c in ("vectors", "ids", "lowest", "upper")}
+                x = np.frombuffer(raw["vectors"], np.float64).reshape(-1, dim)
+                ids = np.frombuffer(raw["ids"], np.int64).reshape(len(x), -1)
                 lowest, upper = (np.frombuffer(raw[c], np.int32) for c in ("lowest", "upper"))
                 lowest, upper = lowest.reshape(len(x), -1), upper.reshape(-1, lowest.size // len(x) + 2)
-                unit, own = _unit(x), _unit(q)
-                found = search(unit.astype(np.float32), lowest, upper, own.astype(np.float32), beam)[:, : 4 * top]
-                real = found < len(x)
-                near = np.where(real, found, 0)
-                score = np.where(real, cosines(q[:, None, :], x[near]), -np.inf)
-                # Candidates with all their ids, without the query's own.
-                each = ids[near]
-                value = np.where((each >= 0) & (each != qids[:, None, None]) & real[:, :, None], score[:, :, None], -np.inf).reshape(len(q), -1)
-                each = each.reshape(len(q), -1)
-                order = np.lexsort((each, -value), axis=1)[:, :top]
-                value, each = np.take_along_axis(value, order, 1), np.take_along_axis(each, order, 1)
-                r, c = np.nonzero(value > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(each[r, c]), pa.array(value[r, c])], names=["query_id", "vec_id", "score"])
-
-    found = in_batches(tasks.select("dim", "q", "qids", "vectors", "ids", "lowest", "upper"), meet, "query_id long, vec_id long, score double")
+                unit = _unit(x).astype(np.float32)
+                for part in asked.to_batches(columns=["q", "qids"], filter=ds.field("qdim") == dim, batch_size=1, batch_readahead=1, fragment_readahead=1):
+                    for j in range(part.num_rows):
+                        q = np.frombuffer(part.column("q")[j].as_buffer(), np.float64).reshape(-1, dim)
+                        yield from _met(q, np.frombuffer(part.column("qids")[j].as_buffer(), np.int64), x, ids, unit, lowest, upper, top, beam)
+
+    found = in_batches(shards.select("dim", "vectors", "ids", "lowest", "upper"), meet, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
+def _met(q, qids, x, ids, unit, lowest, upper, top: int, beam: int):
+    """Batches (query_id, vec_id, score): a block's queries in one shard."""
+    found = search(unit, lowest, upper, _unit(q).astype(np.float32), beam)[:, : 4 * top]
+    real = found < len(x)
+    near = np.where(real, found, 0)
+    score = np.where(real, cosines(q[:, None, :], x[near]), -np.inf)
+    # Candidates with all their ids, without the query's own.
+    each = ids[near]
+    value = np.where((each >= 0) & (each != qids[:, None, None]) & real[:, :, None], score[:, :, None], -np.inf).reshape(len(q), -1)
+    each = each.reshape(len(q), -1)
+    order = np.lexsort((each, -value), axis=1)[:, :top]
+    value, each = np.take_along_axis(value, order, 1), np.take_along_axis(each, order, 1)
+    r, c = np.nonzero(value > -np.inf)
+    yield pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(each[r, c]), pa.array(value[r, c])], names=["query_id", "vec_id", "score"])
+
+
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosines along the last axis, in double precision."""
     return (x * y).sum(axis=-1) / (np.sqrt((x * x).sum(axis=-1)) * np.sqrt((y * y).sum(axis=-1)))
