@@ -2,60 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions.text import located
+from lexloom.sources.shared import discard, fresh_path, shared_root, stored  # noqa: F401
 
 #: A word is a maximal run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset, as in local tests, a folder of this machine is made and set in its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = kept.get() if kept.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lexloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below shared_root() that nothing else uses; it goes when the driver's Python ends."""
-    path = f"{shared_root(spark)}/lexloom-{uuid.uuid4().hex[:16]}-{name}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the JVM may have gone first
-        pass
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as written to, and read again from, the shared folder: it cuts lineage, and survives the loss of any executor."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import stored
+from lexloom.llm.common import discard, stored
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node joins its larger (large) or smaller neighbours to the least of its neighbourhood."""
+    """Each node joins its larger (large) or smaller neighbours to the least of its neighbourhood. The links go."""
     both = edges.union(edges.select("v", "u")) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
     # Stored, so that a node with very many neighbours is split by Spark's skew join or needs no shuffle at all.
@@ -18,7 +18,9 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    out = stored(out.where("u <> v").distinct(), "large" if large else "small")
+    discard(edges, least)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select("u", "v").where("u <> v").distinct(), "links")
     before = None
     while True:
-        edges = stored(_step(stored(_step(edges, True), "large"), False), "small")
+        edges = _step(_step(edges, True), False)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

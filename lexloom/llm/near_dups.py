@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import in_batches, stored, table
+from lexloom.llm.common import discard, in_batches, stored, table
 from lexloom.llm.components import components
 from lexloom.llm.tokens import slices
 
@@ -300,6 +300,7 @@ def near_duplicates(docs: DataFrame, share: int = 85, size: int = 5, block: int
     keys = stored(keyed(classes), "keys")
     least = stored(keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("key").alias("k")), "shared-keys")
     shared = stored(keys.join(least, F.col("key") == F.col("k")).select("key", "id"), "shared")
+    discard(keys, least)
 
     sig = classes.select("id", "n", "sig")
     # Which documents are in candidate pairs, as a bitmap of a bounded size over hashed ids; a wrong hit costs one set more.
@@ -334,7 +335,9 @@ def near_duplicates(docs: DataFrame, share: int = 85, size: int = 5, block: int
         ends = with_comp.groupBy("key").agg(F.min(F.struct("comp", "id")).alias("least"), F.max("comp").alias("most")).where("least.comp < most")
         ends = stored(ends.select(F.col("key").alias("k"), F.col("least.comp").alias("least_comp"), F.col("least.id").alias("u")), f"open-{turn}")
         tries = with_comp.join(ends, F.col("key") == F.col("k")).where("comp <> least_comp").select("u", F.col("id").alias("v")).distinct()
-        more = stored(confirmed(stored(nearest(tries, sig), f"nearest-{turn}"), found, share), f"links-{turn}")
+        near = stored(nearest(tries, sig), f"nearest-{turn}")
+        more = stored(confirmed(near, found, share), f"links-{turn}")
+        discard(near, ends, *([part_of] if part_of is not None else []))
         links = more if links is None else links.union(more)
         part_of = stored(components(links), f"components-{turn}")
 
@@ -346,11 +349,14 @@ def near_duplicates(docs: DataFrame, share: int = 85, size: int = 5, block: int
     parts = stored(components(rest.select(F.col("least").alias("u"), F.col("comp").alias("v"))), "parts-of")
     members = rest.select("id", "comp").distinct().join(parts, F.col("comp") == F.col("node"), "left").select(F.coalesce("component", "comp").alias("part"), "comp", "id")
     members = members.join(sig.select("id", "n"), "id").select("part", "comp", "id", "n")
-    links = links.union(stored(linked_in_blocks(stored(members, "members"), found, share, block), "block-links"))
+    members = stored(members, "members")
+    links = links.union(stored(linked_in_blocks(members, found, share, block), "block-links"))
+    discard(shared, found, ends, rest, parts, members, part_of)
     part_of = stored(components(links), "components")
 
     named = classes.join(part_of, F.col("id") == F.col("node"), "left").select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("component", "id").alias("class_component"))
     named = stored(named, "named")
+    discard(classes, part_of)
     out = rows.join(named, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     own = F.coalesce("class_component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
