@@ -389,3 +389,31 @@ def test_everything_is_registered():
     names = set(entry.queries())
     assert {f"op{n}_" for n in range(1, 11)} <= {re.match(r"op\d+_|", n)[0] for n in names} and "pipeline" in names
     assert isinstance(pd.DataFrame(), pd.DataFrame)
+
+
+def test_recall_of_the_query(spark, sf, tmp_path):
+    """op2_neighbours itself against brute force, over a table of its own with repeated rows, and over that of the driver."""
+    rng = np.random.default_rng(5)
+    own = rng.normal(size=(900, 24)).astype(np.float32).tolist()
+    rows = [(i, x, 0, "s", "d") for i, x in [*enumerate(own), (50, own[50]), (50, own[51]), (951, own[7]), (1000, own[7]), (None, own[3]), (1050, [0.0] * 24)]]
+    made = written(spark, tmp_path, "embeddings", vectors(spark, rows))
+    for folder in (made, sf):
+        t = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas().drop_duplicates("vec_id") if folder == sf else pd.DataFrame(rows, columns=["vec_id", "embedding", "label", "shard", "dim"])
+        t = t[t["vec_id"].notna() & t["embedding"].map(lambda v: any(v))]
+        x, ids = np.array(t["embedding"].tolist(), float), t["vec_id"].to_numpy().astype(np.int64)
+        got: dict = collections.defaultdict(dict)
+        for r in queries.QUERIES["op2_neighbours"](spark, folder).collect():
+            got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+        hits = total = 0
+        for q in sorted({i for i in ids.tolist() if i % 50 == 0}):
+            scores: dict = {}
+            for v in x[ids == q]:
+                for i, s in zip(ids.tolist(), (x @ v / np.linalg.norm(x, axis=1) / np.linalg.norm(v)).tolist()):
+                    if i != q:
+                        scores[i] = max(s, scores.get(i, -2))
+            want = sorted(scores.items(), key=lambda p: (-round(p[1], 12), p[0]))[:5]
+            assert sorted(got[q]) == list(range(1, len(want) + 1))
+            assert all(abs(scores[i] - s) < 1e-12 for i, s in got[q].values())
+            hits += len({i for i, _ in want} & {i for i, _ in got[q].values()})
+            total += len(want)
+        assert hits >= 0.9 * total and total >= 50
