@@ -1,6 +1,5 @@
 """Registered queries against plain versions over whole tables: where the SQL of a query takes a part, that isn't enough."""
 
-import random
 import re
 from collections import defaultdict
 
@@ -9,7 +8,6 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import secrets
 from lexloom.operators import graph, spans
 from lexloom.plans import registry
 
@@ -100,28 +98,6 @@ def test_evidence_by_a_scorer(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(7, 1, 0, 3, 3), (7, 1, 2, 5, 3), (8, 1, 0, 3, 9), (8, 1, 2, 5, 9)]
 
 
-B64 = secrets.ALPHABETS["base64"][:64]
-
-
-def encodings(spark, tokens):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i long, t string").select("i", F.regexp_extract("t", secrets.TOKEN, 0).alias("m"), secrets.tested(F.col("t")).alias("x"))
-    return [r["x"] and r["m"] and r["x"]["encoding"] for r in df.orderBy("i").collect()]
-
-
-def test_random_tokens_of_80_bits_are_tested(spark):
-    rng = random.Random(8)
-    key = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
-    short = [key(B64, 14) for _ in range(400)] + [key(B64, 20) for _ in range(400)]
-    got = encodings(spark, short)
-    assert sum(x == "base64" for x in got[:400]) >= 390 and sum(x == "base64" for x in got[400:]) >= 396
-    assert encodings(spark, ["abQxRtYzWkLmPq", "QK7ZB4XLM2TNPR5W", "k3jx9q2mz7w4vb8t", "k3j-9q2_mz7w4vb8t", "a3F" * 4]) == ["base64", "base32", "base36", "base64", None]
-
-
-def test_words_are_no_random_tokens(spark):
-    words = ["internationalisation", "Donaudampfschiffahrt", "INTERNATIONALISATION", "getElementValueAndName", "path/to/some-other_place", "2024-01-15-some-title", "12345678901234567890"]
-    assert encodings(spark, words) == [None] * len(words)
-
-
 def test_trees_of_all_vectors(spark, sf):
     ids = pq.read_table(f"{sf}/embeddings.parquet")["vec_id"].to_pylist()
     parent = {i: i // 3 for i in ids if i > 0}
