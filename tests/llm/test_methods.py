@@ -277,3 +277,23 @@ def test_time_goes_with_the_length_of_a_token(spark):
 
 def test_luhn_of_the_fixture():
     assert luhn("4111111111111111")
+
+
+def encodings(spark, tokens):
+    """The encoding of each token that the pattern finds whole and that could be a secret, else None."""
+    df = spark.createDataFrame(list(enumerate(tokens)), "i long, t string").select("i", (F.regexp_extract("t", secrets.TOKEN, 0) == F.col("t")).alias("m"), secrets.ordinary(F.col("t")).alias("plain"), secrets.tested(F.col("t")).alias("x"))
+    return [r["x"][0]["encoding"] if r["x"] and r["m"] and not r["plain"] else None for r in df.orderBy("i").collect()]
+
+
+def test_random_tokens_of_80_bits_are_tested(spark):
+    rng = random.Random(8)
+    key = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    short = [key(B64, 14) for _ in range(400)] + [key(B64, 20) for _ in range(400)]
+    got = encodings(spark, short)
+    assert sum(x == "base64" for x in got[:400]) >= 390 and sum(x == "base64" for x in got[400:]) >= 396
+    assert encodings(spark, ["abQxRtYzWkLmPq", "QK7ZB4XLM2TNPR5W", "k3jx9q2mz7w4vb8t", "k3j-9q2_mz7w4vb8t", "a3F" * 4]) == ["base64", "base32", "base36", "base64", None]
+
+
+def test_words_are_no_random_tokens(spark):
+    words = ["internationalisation", "Donaudampfschiffahrt", "INTERNATIONALISATION", "getElementValueAndName", "path/to/some-other_place", "2024-01-15-some-title", "12345678901234567890"]
+    assert encodings(spark, words) == [None] * len(words)
