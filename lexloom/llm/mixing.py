@@ -84,20 +84,27 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     taken word, where the budget ends within the text. Rows of which nothing is taken go; a text without words takes no
     budget, and goes with the partial epoch.
 
-    Ids need not be unique: rows are told apart by id, source and text.
+    Ids need not be unique: rows are told apart by id, source and text. Equal rows take whole epochs alike; what the partial
+    epoch takes of them is given to one of them, as many times as it takes one whole, and cut. Null ids, sources and texts
+    are values like any other; an empty table gives none.
     """
     row = F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text"))
     sized = docs.select(F.struct("doc_id", row.alias("row")).alias("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
     sized = sized.withColumn("doc_id", F.concat_ws("/", F.coalesce(F.col("doc_id.doc_id").cast("string"), F.lit("-")), F.col("doc_id.row").cast("string")))
-    taken = mix(sized).where("taken > 0").groupBy("doc_id").agg(F.collect_list(F.struct("epochs", "first_of", "size")).alias("__t"))
+    taken = mix(sized).where("taken > 0").groupBy("doc_id").agg(
+        F.max("epochs").cast("int").alias("__epochs"), F.count(F.lit(1)).alias("__rows"),
+        F.count_if(F.col("first_of") == F.col("size")).cast("int").alias("__whole"),
+        F.max(F.when((F.col("first_of") > 0) & (F.col("first_of") < F.col("size")), F.col("first_of"))).alias("__part"),
+    )
+    taken = stored(taken.withColumnRenamed("doc_id", "__id"), "taken")
     keyed = docs.withColumn("__id", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), row.cast("string")))
-    # Equal rows share an id and get the same list; each takes the share of its own number among them.
-    same = Window.partitionBy("__id").orderBy(F.lit(1))
-    joined = keyed.join(taken.withColumnRenamed("doc_id", "__id"), "__id").withColumn("__n", F.row_number().over(same))
-    joined = joined.where(F.col("__n") <= F.size("__t")).withColumn("__t", F.element_at("__t", F.col("__n")))
-    copies = F.array_repeat(F.lit(-1).cast("long"), F.col("__t.epochs").cast("int"))
-    copies = F.when(F.col("__t.first_of") > 0, F.concat(copies, F.array(F.when(F.col("__t.first_of") < F.col("__t.size"), F.col("__t.first_of")).otherwise(F.lit(-1).cast("long"))))).otherwise(copies)
-    cut = joined.withColumn("__cut", F.explode(copies))
+    whole = lambda n: F.array_repeat(F.lit(-1).cast("long"), n)
+    rest = F.concat(whole(F.col("__whole")), F.when(F.col("__part").isNotNull(), F.array("__part")).otherwise(F.array().cast("array<bigint>")))
+    joined = keyed.join(taken, "__id").withColumn("__copies", F.when(F.col("__rows") == 1, F.concat(whole(F.col("__epochs")), rest)).otherwise(whole(F.col("__epochs"))))
+    several = taken.where("__rows > 1 and (__whole > 0 or __part is not null)")
+    shared = keyed.join(several, "__id").dropDuplicates(["__id"]).withColumn("__copies", rest)
+    joined = joined.unionByName(shared)
+    cut = joined.withColumn("__cut", F.explode("__copies"))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     text = F.when(F.col("__cut") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(0), F.col("__cut")).cast("int")), ""))
     cut = cut.withColumn("text", text)
