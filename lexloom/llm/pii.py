@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import KINDED, code_spans, kinded, let, overlaps, replaced, row_keys, spans_if, stored, table, told
+from lexloom.llm.common import KINDED, code_spans, discard, kinded, let, overlaps, replaced, row_keys, spans_if, stored, table, told
 
 #: The patterns of the contract, with possessive quantifiers and a look behind where nothing could come of a retry.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -67,8 +67,8 @@ def entities(kind: str, match: Column) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """Of docs (doc_id, text): doc_id, r1, r2, content, the spans of each kind, ents (entities, as struct<e,kind>), terms
-    (hashes of the different ones), and the text where there are entities."""
+    """Of docs (doc_id, text): doc_id, r1, r2, content, the spans of each kind, ents (entities, as struct<e,kind>), and
+    the text where there are entities."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys("doc_id", "text"), F.xxhash64("text").alias("content"), text.alias("text"), F.struct(*[c.alias(k) for k, c in base_spans(text).items()]).alias("s"))
 
@@ -78,9 +78,13 @@ def found(docs: DataFrame) -> DataFrame:
 
     each = [protected(k, i) for i, k in enumerate(KINDS)]
     base = base.withColumn("ents", F.array_distinct(F.concat(*each)))
-    terms = F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))), lambda t: F.xxhash64(t))
     held = F.when(F.size("ents") > 0, F.col("text"))
-    return base.select("doc_id", "r1", "r2", "content", "s.*", "ents", terms.alias("terms"), held.alias("text"))
+    return base.select("doc_id", "r1", "r2", "content", "s.*", "ents", held.alias("text"))
+
+
+def text_terms(text: Column) -> Column:
+    """Hashes of the different terms of a text."""
+    return F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))), lambda t: F.xxhash64(t))
 
 
 def _places(rows: DataFrame, by: str) -> DataFrame:
@@ -88,8 +92,8 @@ def _places(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("content")).alias("s1"), F.bit_xor(F.xxhash64("content", F.lit(1))).alias("s2"))
 
 
-def disclosing(rows: DataFrame, least: float = GENERALISE, prior: float = PRIOR) -> DataFrame:
-    """(content, t, share, kind): the terms of each text that disclose at least that share of the information of one of its
+def disclosing(docs: DataFrame, rows: DataFrame, least: float = GENERALISE, prior: float = PRIOR) -> DataFrame:
+    """Of docs and found() rows of them: (content, t, share, kind): the terms of each text that disclose at least that share of the information of one of its
     entities, the greatest share, and the first kind of such an entity.
 
     share = log(joint / (n_term + prior) * n / n_entity) / log(n / n_entity), counted over different texts, so that copies of
@@ -98,15 +102,18 @@ def disclosing(rows: DataFrame, least: float = GENERALISE, prior: float = PRIOR)
     texts with an entity of which it could disclose enough, as joint is n_entity at most.
     """
     n = float(rows.select("content").distinct().count())
-    held = rows.where(F.size("ents") > 0).groupBy("content").agg(F.first("ents").alias("ents"), F.first("terms").alias("terms"))
-    ents = stored(held.select("content", F.explode("ents").alias("x")).select("content", "x.e", "x.kind"), "entities")
-    if ents.isEmpty():
-        return ents.select("content", F.lit(None).cast("long").alias("t"), F.lit(None).cast("double").alias("share"), F.lit(None).cast("int").alias("kind"))
-    each = _places(ents.select("content", "e"), "e").where(F.col("n") < n).select("e", F.col("n").alias("n_entity"), F.xxhash64("n", "s1", "s2").alias("ec"))
-    ents = stored(ents.join(each, "e").groupBy("content", "ec").agg(F.first("n_entity").alias("n_entity"), F.min("kind").alias("kind")), "entity-classes")
+    held = rows.where(F.size("ents") > 0).groupBy("content").agg(F.first("ents").alias("ents"), F.first("text").alias("text"))
+    held = stored(held.select("content", "ents", text_terms(F.col("text")).alias("terms")), "held")
+    every = stored(held.select("content", F.explode("ents").alias("x")).select("content", "x.e", "x.kind"), "entities")
+    if every.isEmpty():
+        return every.select("content", F.lit(None).cast("long").alias("t"), F.lit(None).cast("double").alias("share"), F.lit(None).cast("int").alias("kind"))
+    each = _places(every.select("content", "e"), "e").where(F.col("n") < n).select("e", F.col("n").alias("n_entity"), F.xxhash64("n", "s1", "s2").alias("ec"))
+    ents = stored(every.join(each, "e").groupBy("content", "ec").agg(F.first("n_entity").alias("n_entity"), F.min("kind").alias("kind")), "entity-classes")
     most = lambda c: (1 + 1e-9) * F.pow(c.cast("double"), F.lit(least)) * n ** (1 - least)
     bounds = ents.groupBy("content").agg(most(F.max("n_entity")).alias("most"))
-    n_term = rows.select("content", F.explode("terms").alias("t")).distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n_term"))
+    # Terms are made again rather than stored for all texts, which would be as much as the texts.
+    texts = docs.select(F.xxhash64("text").alias("content"), text_terms(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("terms")).groupBy("content").agg(F.first("terms").alias("terms"))
+    n_term = texts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_term"))
     terms = held.select("content", F.explode("terms").alias("t"))
     own = _places(terms, "t").join(n_term, "t").where(F.col("n_term") + prior <= most(F.col("n")))
     terms = terms.join(own.select("t", "n_term", F.xxhash64("n_term", "s1", "s2").alias("tc")), "t").join(bounds, "content").where(F.col("n_term") + prior <= F.col("most"))
@@ -116,7 +123,9 @@ def disclosing(rows: DataFrame, least: float = GENERALISE, prior: float = PRIOR)
     share = F.round(F.log(F.col("joint") / (F.col("n_term") + prior) * n / F.col("n_entity")) / F.log(n / F.col("n_entity")), 9)
     pairs = pairs.withColumn("share", share).where(F.col("share") >= least).select("ec", "tc", "share")
     best = met.select("content", "ec", "tc", "kind").join(pairs, ["ec", "tc"]).groupBy("content", "tc").agg(F.max("share").alias("share"), F.min("kind").alias("kind"))
-    return terms.select("content", "t", "tc").join(best, ["content", "tc"]).select("content", "t", "share", "kind")
+    out = stored(terms.select("content", "t", "tc").join(best, ["content", "tc"]).select("content", "t", "share", "kind"), "disclosing")
+    discard(held, every, ents, terms, met)
+    return out
 
 
 def detected(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, prior: float = PRIOR) -> DataFrame:
@@ -128,7 +137,7 @@ def detected(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     texts of any length are taken.
     """
     rows = stored(found(docs), "found")
-    terms = stored(disclosing(rows, generalise, prior), "disclosing").select(F.col("content").alias("c"), F.col("t").alias("dt"), "share", F.col("kind").alias("reveals"))
+    terms = disclosing(docs, rows, generalise, prior).select(F.col("content").alias("c"), F.col("t").alias("dt"), "share", F.col("kind").alias("reveals"))
     words = rows.where(F.col("text").isNotNull()).groupBy("content").agg(F.first("text").alias("text"))
     words = words.select("content", F.explode(code_spans(F.col("text"), TERM)).alias("w")).withColumn("wt", F.xxhash64(F.lower("w.match")))
     places = words.join(terms, (F.col("content") == F.col("c")) & (F.col("wt") == F.col("dt")))
@@ -138,7 +147,7 @@ def detected(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     # Stored, so that in the join both sides are plain shuffles, of which Spark can split those of a text with many copies.
     added = stored(places.groupBy("c").agg(F.sort_array(F.collect_list(span)).alias("terms")), "added")
     base = F.sort_array(F.concat(*[kinded(F.col(k), k, i) for i, k in enumerate(KINDS)]))
-    out = rows.drop("terms", "text").withColumn("base", base).join(added, F.col("content") == F.col("c"), "left")
+    out = rows.drop("text").withColumn("base", base).join(added, F.col("content") == F.col("c"), "left")
     free = F.filter("terms", lambda t: ~overlaps(F.col("base"), t["start"], t["end"]))
     out = out.withColumn("terms", F.when(F.col("terms").isNotNull(), free).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,reveals:string>>")))
     every = F.sort_array(F.concat("base", F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["rank"].alias("rank"), t["end"].alias("end"), t["kind"].alias("kind")))))
