@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,39 @@ def default_mentions(sents: DataFrame, least: int = 6) -> DataFrame:
     return rows.select("doc_id", "sentence_id", "m.*", F.concat_ws(" ", "m.prev", "m.head").alias("text"))
 
 
+def engine_mentions(docs: DataFrame, load: Callable[[], Callable[[list[str]], list[list[list[tuple[int, int]]]]]], batch: int = 64) -> DataFrame:
+    """H04, by a plug-in: (doc_id, chain_id, start, end, text) of documents (doc_id, text).
+
+    load() is called once by each worker, and gives the engine: of a list of texts, for each the chains, each a list of
+    places, end exclusive. Chains are numbered from 1; places outside a text, or of no extent, go.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        engine = load()
+        for pdf in batches:
+            for a in range(0, len(pdf), batch):
+                part = pdf.iloc[a : a + batch]
+                texts = part["text"].fillna("").tolist()
+                rows = [(d, n, x, y, t[x:y]) for d, t, found in zip(part["doc_id"], texts, engine(texts), strict=True) for n, places in enumerate(found, 1) for x, y in places if 0 <= x < y <= len(t)]
+                yield pd.DataFrame(rows, columns=["doc_id", "chain_id", "start", "end", "text"])
+
+    return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {kind}, chain_id int, start int, end int, text string")
+
+
+def repeated_words(least: int = 8) -> Callable[[list[str]], list[list[list[tuple[int, int]]]]]:
+    """A plain engine: words of some length that stand in a text more than once are a chain, in the order of their first."""
+
+    def chains_of(text: str) -> list[list[tuple[int, int]]]:
+        found: dict[str, list[tuple[int, int]]] = {}
+        for m in re.finditer(r"[^ \t\n\x0B\f\r]+", text):
+            if len(m[0]) >= least:
+                found.setdefault(m[0], []).append(m.span())
+        return [places for places in found.values() if len(places) > 1]
+
+    return lambda texts: [chains_of(t) for t in texts]
+
+
 def chained(mentions: DataFrame) -> DataFrame:
     """Mentions of a document that share a head, two or more of them, with chain_id by head.
 

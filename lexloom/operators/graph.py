@@ -71,6 +71,11 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFram
     return labels
 
 
+def memberships(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, sentence_id, community) of members (doc_id, sentence_id, id) whose node has a community."""
+    return members.join(labels, "id").select("doc_id", "sentence_id", "community")
+
+
 def descendants(edges: DataFrame, roots: DataFrame, depth: int = 20) -> DataFrame:
     """(root, node, level): what can be reached from each root along (parent, child), at its least level.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +57,29 @@ def enriched(rows: DataFrame, bibliography: DataFrame, key: str, url_column: str
     return found.groupBy(key).agg(listed("title", F.col("title").isNotNull()).alias("titles"), listed("url", F.col("title").isNull() & F.col("url").isNotNull()).alias("other_urls"))
 
 
+def fetched(dois: DataFrame, load: Callable[[], Callable[[str], dict | None]]) -> DataFrame:
+    """A10: (doi, title, abstract, pdf_url) of different DOIs, by a plug-in that asks a service.
+
+    load() is called once by each worker, and gives a function of a DOI to what is known of it. What it fails on, by an
+    OSError such as that of a connection, or doesn't know, is null, so that one DOI doesn't end a run.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = load()
+        for pdf in batches:
+            rows = []
+            for doi in pdf["doi"]:
+                try:
+                    known = ask(doi) or {}
+                except OSError:
+                    known = {}
+                rows.append((doi, known.get("title"), known.get("abstract"), known.get("pdf_url")))
+            yield pd.DataFrame(rows, columns=["doi", "title", "abstract", "pdf_url"])
+
+    asked = dois.select(F.lower("doi").alias("doi")).where("doi is not null").distinct()
+    return asked.mapInPandas(each, "doi string, title string, abstract string, pdf_url string")
+
+
 def cell_parts(cell: Column) -> Column:
     """B27"""
     return S.value_and_likert(cell)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import attribution, concordance, coref, highlights, models, pipelines, simjoin, spans
+from lexloom.operators import attribution, concordance, coref, graph, highlights, models, pipelines, simjoin, spans, spreadsheet
+from lexloom.operators import corpus as O
 from lexloom.operators import vectors as V
 from lexloom.plans import index_queries as I
 from lexloom.plans import table_queries as TQ
@@ -15,6 +16,7 @@ from lexloom.plans import vector_queries as VQ
 from lexloom.plans.views import documents, mentions, sentences, table, vectors, wide, with_
 from lexloom.sources import corpus as S
 from lexloom.sources import tables as D
+from lexloom.sources import workbook
 from lexloom.sources.shared import fresh_path, stored
 
 C = F.col
@@ -113,6 +115,64 @@ def _highlights(spark, sf) -> DataFrame:
     return wide(highlights.flipped(both.withColumn("page_height", F.lit(1e6))).drop("page_height"))
 
 
+def _workbook(rows: list[tuple[int, str]]) -> bytes:
+    """A workbook whose third sheet has a number, a name, and a cell filled by colour or theme, in each row."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    lines = [f'<row r="{i}"><c r="A{i}"><v>{n}</v></c><c r="B{i}" t="s"><v>{i - 1}</v></c><c r="AB{i}" s="{n % 4}"/></row>' for i, (n, _) in enumerate(rows, 1)]
+    solid = lambda colour: f'<fill><patternFill patternType="solid"><fgColor {colour}/></patternFill></fill>'
+    green, red = 'rgb="FF00C000"', 'theme="10"'
+    parts = {
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="s{i}" sheetId="{i}" r:id="r{i}"/>' for i in (1, 2, 3)) + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in (1, 2, 3)) + "</Relationships>",
+        "xl/sharedStrings.xml": f"<sst {main}>" + "".join(f"<si><r><t>{escape(t[:1])}</t></r><r><t>{escape(t[1:])}</t></r></si>" for _, t in rows) + "</sst>",
+        "xl/styles.xml": f'<styleSheet {main}><fills><fill><patternFill patternType="none"/></fill>{solid(green)}{solid(red)}</fills><cellXfs><xf fillId="0"/><xf fillId="1"/><xf fillId="2"/><xf fillId="0"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet3.xml": f"<worksheet {main}><sheetData>{''.join(lines)}</sheetData></worksheet>",
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as book:
+        for name, data in parts.items():
+            book.writestr(name, data)
+    return out.getvalue()
+
+
+def _cells(spark, sf) -> DataFrame:
+    """The rows of a table by way of workbooks, each of a thousand ids of a source, with the scores of their colours."""
+    pack = F.udf(lambda rows: _workbook([(r["doc_id"], r["lang"]) for r in rows]), "binary")
+    name = F.concat("source", F.lit("/"), F.floor(C("doc_id") / 1000).cast("string"))
+    books = _docs(spark, sf).groupBy(name.alias("path")).agg(pack(F.sort_array(F.collect_list(F.struct("doc_id", "lang")))).alias("content"))
+    found = workbook.cells(books)
+    return wide(spreadsheet.graded(found).select("path", "row", "col", "value", "likert"))
+
+
+def _fetched(spark, sf) -> DataFrame:
+    """DOIs of a service that knows those with an even number, and fails on every seventh."""
+
+    def service():
+        def ask(doi: str) -> dict | None:
+            n = int(doi.rsplit(".", 1)[1])
+            if n % 7 == 0:
+                raise OSError("no answer")
+            return {"title": f"T{n}", "pdf_url": f"https://x.org/{n}.pdf"} if n % 2 == 0 else None
+
+        return ask
+
+    return spreadsheet.fetched(_docs(spark, sf).select(F.concat(F.lit("10.1016/J."), (C("doc_id") % 300).cast("string")).alias("doi")), service)
+
+
+def _engine(spark, sf) -> DataFrame:
+    return wide(O.engine_mentions(_docs(spark, sf), lambda: O.repeated_words(8)).select("doc_id", "chain_id", "start", C("end").alias("stop"), F.md5("text").alias("h")))
+
+
+def _memberships(spark, sf) -> DataFrame:
+    members = vectors(spark, sf).select(C("label").alias("doc_id"), C("id").alias("sentence_id"), "id")
+    return wide(graph.memberships(members, VQ._communities(spark, sf)))
+
+
 # --- the store --------------------------------------------------------------------------------------------------------------
 def _upserts(spark, sf) -> DataFrame:
     store, s = _store(spark), sentences(spark, sf)
@@ -245,9 +305,11 @@ def _capped(spark, sf) -> DataFrame:
 QUERIES = {
     "a01_page_texts": _pages,
     "a03_files": _files,
+    "a06_workbook_cells": _cells,
     "a07_csv_rows": _csv,
     "a08_records": lambda spark, sf: _flat(_records(spark, sf)),
     "a09_uploads": _uploads,
+    "a10_fetched": _fetched,
     "a11_store": lambda spark, sf: spark.createDataFrame(_store(spark).tables(), "name string, columns long, rows long"),
     "a14_upserts": _upserts,
     "a15_stored_indices": _indices,
@@ -265,6 +327,8 @@ QUERIES = {
     "f20_capped_pairs": _capped,
     "g05_concordance": _concordance,
     "g07_coherence": lambda spark, sf: wide(pipelines.coherence(TX._pairs(spark, sf).select("doc_id", "sentence_id", C("text").alias("x"), C("next").alias("y"))).select("doc_id", "sentence_id", "score")),
+    "g15_memberships": _memberships,
+    "h04_engine_chains": _engine,
     "h05_pair_relations": _relations,
     "h06_chain_search": _chain_search,
     "h07_span_candidates": _span_candidates,
@@ -294,6 +358,8 @@ _G = ("s", "t", "m", "g")
 ORACLE = {
     "a01_page_texts": "SELECT doc_id::VARCHAR AS path, i AS page_no, md5(line) AS h FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id % 5 < 4))",
     "a03_files": "SELECT source, (33 * count(*))::BIGINT AS bytes FROM documents GROUP BY source",
+    "a06_workbook_cells": "WITH r AS (SELECT source || '/' || doc_id // 1000 AS path, doc_id, lang, row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id, lang) AS n FROM documents) SELECT path, n AS row, 1::BIGINT AS col, doc_id::VARCHAR AS value, 0::BIGINT AS likert FROM r UNION ALL SELECT path, n, 2, lang, 0 FROM r UNION ALL SELECT path, n, 28, NULL, CASE doc_id % 4 WHEN 1 THEN 4 ELSE -5 END FROM r WHERE doc_id % 4 IN (1, 2)",
+    "a10_fetched": "SELECT DISTINCT '10.1016/j.' || n AS doi, CASE WHEN n % 2 = 0 AND n % 7 <> 0 THEN 'T' || n END AS title, NULL::VARCHAR AS abstract, CASE WHEN n % 2 = 0 AND n % 7 <> 0 THEN 'https://x.org/' || n || '.pdf' END AS pdf_url FROM (SELECT doc_id % 300 AS n FROM documents)",
     "a07_csv_rows": "SELECT md5(text) AS h, CASE item_id % 3 WHEN 0 THEN '10.1/a1|10.1/b2' WHEN 1 THEN '10.1/c3|10.1/d4' ELSE '' END AS dois FROM benchmark",
     "a08_records": _FLAT,
     "a09_uploads": "SELECT page_id::VARCHAR AS name, 'uploads/' || sha256(coalesce(html, '')) AS path, strlen(coalesce(html, '')) AS length FROM pages",
@@ -314,6 +380,8 @@ ORACLE = {
     "f20_capped_pairs": with_("s", "r AS (SELECT doc_id, sentence_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_id) AS r FROM s)", "nb AS (SELECT a.doc_id * 1000000 + a.sentence_id AS i, b.doc_id * 1000000 + b.sentence_id AS j, a.text AS x, b.text AS y FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.r - a.r BETWEEN 1 AND 2)") + f"SELECT i, j FROM nb WHERE {TX._ratio('x', 'y')} >= 0.25 AND {TX._jac('x', 'y')} >= 0.08 ORDER BY i, j LIMIT 500",
     "g05_concordance": with_("s", VQ._VEC, "near AS (SELECT b.id AS doc_id, row_number() OVER (ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.id) AS rank FROM e a, e b WHERE a.id = 7)", "lx AS (SELECT doc_id, sentence_id FROM s WHERE " + " AND ".join(f"contains(lower(text), '{t}')" for t in TX.TERMS) + " ORDER BY doc_id, sentence_id LIMIT 50)") + "SELECT 'vector' AS mode, s.doc_id, sentence_id, 'corpus://' || source || '/' || s.doc_id AS path, rank FROM near JOIN s ON s.doc_id = near.doc_id AND sentence_id = 0 JOIN documents d ON d.doc_id = s.doc_id WHERE rank <= 50 UNION ALL SELECT 'AND', lx.doc_id, sentence_id, 'corpus://' || source || '/' || lx.doc_id, NULL FROM lx JOIN documents d ON d.doc_id = lx.doc_id",
     "g07_coherence": TX._NEXT + f"SELECT doc_id, sentence_id, round({TX._jac('text', 'next')}, 6) AS score FROM n",
+    "g15_memberships": "SELECT label::BIGINT AS doc_id, vec_id AS sentence_id, community FROM embeddings JOIN (" + VQ.ORACLE["g11_communities"] + ") c ON c.id = vec_id",
+    "h04_engine_chains": with_("s", TX._W, "lw AS (SELECT w.doc_id, s.start + w.start AS start, s.start + w.stop AS stop, word FROM w JOIN s USING (doc_id, sentence_id) WHERE length(word) >= 8), lc AS (SELECT *, min(start) OVER (PARTITION BY doc_id, word) AS first, count(*) OVER (PARTITION BY doc_id, word) AS n FROM lw)") + "SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY first) AS chain_id, start, stop, md5(word) AS h FROM lc WHERE n > 1",
     "h05_pair_relations": with_("s", "t", "m", "mi AS (SELECT doc_id, chain_id, row_number() OVER (PARTITION BY doc_id, chain_id ORDER BY sentence_id, pos) - 1 AS i FROM m)") + "SELECT doc_id, chain_id, i - 1 AS i, i AS j, CASE i % 3 WHEN 0 THEN i % 8 - 1 WHEN 1 THEN 1 ELSE CASE WHEN i % 2 = 0 THEN 5 ELSE 6 END END AS id, CASE i % 3 WHEN 0 THEN CASE i % 8 - 1 WHEN -1 THEN 'NO_RELATION' WHEN 0 THEN 'NOT_COREF' WHEN 1 THEN 'PRON_PRON_C' WHEN 2 THEN 'PRON_PRON_NC' WHEN 3 THEN 'ENT_PRON' WHEN 4 THEN 'MATCH' WHEN 5 THEN 'CONTAINS' ELSE 'OTHER' END WHEN 1 THEN 'PRON_PRON_C' ELSE CASE WHEN i % 2 = 0 THEN 'CONTAINS' ELSE 'KIN' END END AS label, CASE WHEN i % 4 > 0 THEN i / 10.0::DOUBLE ELSE 0.5 END AS score FROM mi WHERE i >= 1",
     "h06_chain_search": with_("s", TX._W, I._WM, I._GRID.format(100), "fo AS (SELECT p.doc_id, begin // 100 AS span_id, begin, begin + 30 AS stop, min(chain_id) AS chain_id FROM gr100 p JOIN wm ON wm.doc_id = p.doc_id AND wm.start < begin + 30 AND wm.stop > begin GROUP BY ALL)",
         "ot AS (SELECT fo.doc_id, span_id, wm.start FROM fo JOIN wm ON wm.doc_id = fo.doc_id AND wm.chain_id = fo.chain_id WHERE NOT ((wm.start <= begin AND begin < wm.stop) OR (begin <= wm.start AND wm.start < fo.stop)))",
