@@ -215,6 +215,12 @@ SELECT doc_id, page, u.l, u.t, u.r, u.b FROM (SELECT doc_id, page, unnest(o) AS
     "f12_first_of_same": "SELECT source, lang, min(doc_id) AS pos FROM documents GROUP BY source, lang",
     "f15_token_chunks": f"WITH {_TOKW}, c AS (SELECT doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - 200) / 128.0))::BIGINT + 1)) * 128 AS first FROM wl WHERE len(w) > 0) SELECT doc_id, first, least(first + 200, len(w)) AS last, md5(array_to_string(w[first + 1:first + 200], ' ')) AS h FROM c",
     "f16_sentence_windows": with_("s", "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_id) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM s)") + "SELECT a.doc_id, a.i // 2 AS window_id, min(b.sentence_id) AS first_id, max(b.sentence_id) AS last_id, md5(string_agg(b.text, ' ' ORDER BY b.sentence_id)) AS h FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 2 WHERE a.i % 2 = 0 GROUP BY a.doc_id, a.i",
+    # Words are apart, so a span around a peak is that word alone.
+    "f18_peaks": with_("s", _W, "ht AS (SELECT doc_id, sentence_id, pos, start, stop, CASE WHEN count(*) OVER (PARTITION BY doc_id, sentence_id) = 2 THEN round(sum(length(word)) OVER (PARTITION BY doc_id, sentence_id ORDER BY pos) / 3.0::DOUBLE, 6) ELSE round(sum(length(word)) OVER (PARTITION BY doc_id, sentence_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3.0::DOUBLE, 6) END AS h FROM w)",
+        "pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_id ORDER BY h DESC, pos) AS k FROM ht WHERE h > 0) WHERE k <= 6 AND stop - start >= 5)",
+        "gi AS (SELECT *, sum(CASE WHEN start - prev <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sentence_id ORDER BY start) AS grp FROM (SELECT *, lag(stop) OVER (PARTITION BY doc_id, sentence_id ORDER BY start) AS prev FROM pk))",
+        "mg AS (SELECT doc_id, sentence_id, min(start) AS start, max(stop) AS stop, round(sum(h * (stop - start)), 6) AS score FROM gi GROUP BY doc_id, sentence_id, grp)")
+    + "SELECT doc_id, sentence_id, start, stop, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence_id ORDER BY score DESC, start) AS k FROM mg) WHERE k <= 2",
     "f18_smoothed": with_("s", _W) + "SELECT doc_id, sentence_id, pos, round(round(sum(length(word)) OVER (PARTITION BY doc_id, sentence_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3.0::DOUBLE, 6), 4) AS smooth FROM w",
     "h01_encoded": "SELECT item_id, 32::BIGINT AS dim, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM benchmark",
     "h08_keyphrases": r"""WITH wl AS (SELECT item_id AS doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\r\f]+'), lambda w: w <> '') AS w FROM benchmark), wd AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word FROM wl),
