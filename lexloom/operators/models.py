@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,33 @@ def argmax_label(scores: Column) -> Column:
     return F.struct((F.array_position(scores, top) - 1).cast("int").alias("label"), F.round(1 / F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x - top)), 6).alias("confidence"))
 
 
+def word_weights(docs: DataFrame, words: int = 20_000, sample: int = 100_000, seed: int = 7) -> DataFrame:
+    """(token, weight) of a linear classifier of whole texts, trained on labelled documents (text, label 0 or 1).
+
+    Fitted on about `sample` rows at most, over the `words` words that most of them hold, two at least; weights are of
+    presence, so a word's weight is its integrated gradient along the straight path from the text without words.
+    """
+    rows = docs.where("label is not null").select(F.col("label").cast("double").alias("label"), F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
+    n = rows.count()
+    rows = (rows.sample(sample / n, seed=seed) if n > sample else rows).cache()
+    try:
+        vocabulary = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=words, minDF=2, binary=True).fit(rows)
+        model = LogisticRegression(maxIter=30, regParam=0.05, standardization=False).fit(vocabulary.transform(rows))
+    finally:
+        rows.unpersist()
+    return docs.sparkSession.createDataFrame(list(zip(vocabulary.vocabulary, map(float, model.coefficients), strict=True)), "token string, weight double")
+
+
+def gradients(tokens: DataFrame, weights: DataFrame) -> DataFrame:
+    """Tokens (…, token) with importance, the classifier's weight of the token, 0 for one that it doesn't know.
+
+    A place holds a word that may have punctuation about it; the weight is that of its first run of letters and digits.
+    """
+    bare = F.coalesce(F.get(T.tokens(F.col("token")), F.lit(0)), F.lit(""))
+    joined = tokens.drop("importance").withColumn("__t", bare).join(weights.select(F.col("token").alias("__w"), "weight"), F.col("__t") == F.col("__w"), "left")
+    return joined.withColumn("importance", F.coalesce("weight", F.lit(0.0))).drop("__t", "__w", "weight")
+
+
 def pair_score(a: Column, b: Column) -> Column:
     """The default pair scorer is word Jaccard, which has no order."""
     return T.word_jaccard(a, b)

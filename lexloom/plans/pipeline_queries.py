@@ -168,6 +168,13 @@ def _engine(spark, sf) -> DataFrame:
     return wide(O.engine_mentions(_docs(spark, sf), lambda: O.repeated_words(8)).select("doc_id", "chain_id", "start", C("end").alias("stop"), F.md5("text").alias("h")))
 
 
+def _gradients(spark, sf) -> DataFrame:
+    """The tokens that speak most for a document's quality, by a classifier trained on the labelled ones."""
+    labelled = _docs(spark, sf).join(table(spark, sf, "labels").select("doc_id", C("quality").alias("label")), "doc_id")
+    scored = models.gradients(spans.token_importance(sentences(spark, sf)), models.word_weights(labelled))
+    return wide(spans.ranked(scored, ["doc_id", "sentence_id"], 3).select("doc_id", "sentence_id", "pos", "token", F.round("importance", 4).alias("importance"), "rank"))
+
+
 def _memberships(spark, sf) -> DataFrame:
     members = vectors(spark, sf).select(C("label").alias("doc_id"), C("id").alias("sentence_id"), "id")
     return wide(graph.memberships(members, VQ._communities(spark, sf)))
@@ -329,6 +336,7 @@ QUERIES = {
     "g07_coherence": lambda spark, sf: wide(pipelines.coherence(TX._pairs(spark, sf).select("doc_id", "sentence_id", C("text").alias("x"), C("next").alias("y"))).select("doc_id", "sentence_id", "score")),
     "g15_memberships": _memberships,
     "h04_engine_chains": _engine,
+    "h09_gradients": _gradients,
     "h05_pair_relations": _relations,
     "h06_chain_search": _chain_search,
     "h07_span_candidates": _span_candidates,

@@ -133,6 +133,20 @@ def test_engines_plug_in(spark):
     assert rows(O.engine_mentions(docs, odd)) == [(1, 1, 0, 2, "Aa")]
 
 
+def test_gradients_of_a_trained_classifier(spark):
+    rng = np.random.default_rng(9)
+    words = ["plain", "words", "all", "over"]
+    docs = [(i, " ".join(rng.permutation([*rng.choice(words, 6), "fine" if i % 2 else "junk"])), i % 2) for i in range(120)] + [(500, None, 1), (501, "fine", None)]
+    weights = models.word_weights(spark.createDataFrame(docs, "doc_id long, text string, label int"))
+    w = {r["token"]: r["weight"] for r in weights.collect()}
+    assert w["fine"] > 0.5 > -0.5 > w["junk"] and all(abs(w[x]) < 0.3 for x in words)
+    tokens = spark.createDataFrame([(1, "Fine,"), (2, "unknown"), (3, "--")], "pos int, token string")
+    assert rows(models.gradients(tokens, weights).select("pos", "importance")) == [(1, w["fine"]), (2, 0.0), (3, 0.0)]
+    # Held out: the sign of a text's sum tells its label.
+    held = [(i, " ".join([*rng.choice(words, 5), "fine" if i % 2 else "junk"]), i % 2) for i in range(40)]
+    assert all((sum(w[x] for x in t.split()) > 0) == bool(label) for _, t, label in held)
+
+
 def test_candidates_of_unknown_kind(spark):
     with pytest.raises(ValueError):
         pipelines.candidates(spark.createDataFrame([], "doc_id long, sentence_id int, text string"), "none", models.Options())
