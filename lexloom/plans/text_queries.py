@@ -159,7 +159,7 @@ QUERIES = {
     "f17_kwic": lambda spark, sf: wide(concordance.kwic(sentences(spark, sf), "thing", 20)),
     "h09_token_importance": lambda spark, sf: wide(spans.token_importance(sentences(spark, sf)).groupBy("doc_id", "sentence_id").agg(F.count(F.lit(1)).alias("n"), F.sum("importance").alias("total"), F.max("end").alias("last"), F.sum("start").alias("starts"))),
     "f19_span_enumeration": lambda spark, sf: wide(spans.enumerated(sentences(spark, sf)).select("doc_id", "sentence_id", "start", C("end").alias("stop"), "span", "importance")),
-    "f03_ranked_spans": lambda spark, sf: wide(spans.ranked(spans.merged(spans.enumerated(sentences(spark, sf)), ["doc_id", "sentence_id"]), ["doc_id", "sentence_id"]).select("doc_id", "sentence_id", "start", C("end").alias("stop"), "importance", "rank")),
+    "f03_ranked_spans": lambda spark, sf: wide(spans.ranked_runs(sentences(spark, sf)).select("doc_id", "sentence_id", "start", C("end").alias("stop"), "importance", "rank")),
 }
 
 _W = r"""w0 AS (SELECT doc_id, sentence_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS ws, string_split_regex(text, '[^ \t\n\x0B\f\r]+') AS gs FROM s),
