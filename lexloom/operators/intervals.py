@@ -49,6 +49,19 @@ def span_to_chain(spans: DataFrame, mentions: DataFrame, on: str = "doc_id") ->
     return spans.select(on, "span_id").join(hit, [on, "span_id"], "left")
 
 
+def with_chain(spans: DataFrame, mentions: DataFrame, on: str = "doc_id") -> DataFrame:
+    """Spans (on, begin, stop, …), different rows, with chain_id as of span_to_chain().
+
+    Spans and mentions are dealt out once each, by document, and nothing is after that.
+    """
+    begin, stop = F.col("begin"), F.col("stop")
+    held = lambda p: (F.col("__m0") <= p) & (p < F.col("__m1"))
+    any_ = held(begin) | held(F.floor((begin + stop) / 2).cast("int")) | held(F.greatest(begin, stop - 1))
+    m = mentions.select(F.col(on).alias("__on"), F.col("start").alias("__m0"), F.col("end").alias("__m1"), F.col("chain_id").alias("__chain"))
+    met = spans.join(m, (F.col(on) == F.col("__on")) & any_, "left")
+    return met.groupBy(*spans.columns).agg(F.min("__chain").alias("chain_id"))
+
+
 def related_mentions(mapped: DataFrame, mentions: DataFrame, most: int = 5, on: str = "doc_id") -> DataFrame:
     """Of each span with a chain (begin, stop, chain_id), the first other mentions of it, by place."""
     joined = mapped.join(mentions.select(on, "chain_id", "start", "end", "text"), [on, "chain_id"]).where("not (start = begin and end = stop)")
